@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import embeddings, packing, quality, sentencepieces, simhash, toxicity
+from . import embeddings, line_runs, packing, pseudonyms, quality, secrets, sentencepieces, simhash, sketches, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,6 +33,21 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.findings(docs, secrets.scan(docs))
+    base = F.filter("spans", lambda s: s["kind"].isin(secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), pseudonyms.DEMO_KEY)
+    kinds = F.transform(pseudonyms.FOUND, lambda t: t["kind"])
+    count = lambda kind: F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", "text", *map(count, pseudonyms.KINDS), F.transform(pseudonyms.FOUND, lambda t: t["pseudonym"]).alias("pseudonyms"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -50,14 +65,28 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketches.compare_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_runs.with_cuts(docs).select("doc_id", "text", F.coalesce(F.size(line_runs.CUT), F.lit(0)).alias("lines_removed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
         "op3_embeddings": op3_embeddings,
+        "op4_secrets": op4_secrets,
+        "op5_pii": op5_pii,
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_fingerprints": op9_fingerprints,
+        "op10_line_runs": op10_line_runs,
     }
 
 

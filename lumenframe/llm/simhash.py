@@ -211,3 +211,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     named = cut(named)
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(roots, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with only the rows whose doc_id names their near-duplicate group, one row each; null doc_ids stay only where the whole group is null.
+
+    The chosen ids are joined to the texts; the texts themselves are sent once at most.
+    """
+    found = near_duplicates(docs, radius)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("simhash_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("simhash_gone")), "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("simhash_again"))
+    once = kept.join(again, F.col("doc_id").eqNullSafe(F.col("simhash_again")), "left_anti")
+    rest = kept.join(again, F.col("doc_id").eqNullSafe(F.col("simhash_again")), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(rest)
