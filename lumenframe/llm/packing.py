@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,12 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One per Python worker, so that its words serve all tasks the worker runs."""
+    return WordEncoder(path)
+
+
 def estimated_cost(length: np.ndarray | int, capacity: int):
     """Linear plus quadratic attention cost of a piece, in units where both are equal at full length."""
     return length + length * (length / capacity)
@@ -126,7 +133,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         base, held, tokens = TaskContext.get().partitionId() << 36, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:

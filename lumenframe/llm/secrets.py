@@ -114,3 +114,24 @@ def redact(docs: DataFrame) -> DataFrame:
     for _, _, pattern, _ in RULES:
         hit = hit | F.col("text").rlike(pattern)
     return docs.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+
+
+def oracle_sql() -> str:
+    """The findings of a whole scan as SQL: matches marked, parts split, positions by running lengths."""
+
+    def parts(number: int) -> str:
+        kind, _, pattern, least = RULES[number]
+        p = "'" + pattern.replace("'", "''") + "'"
+        marked = f"replace(regexp_replace(t, {p}, chr(1)||'\\1'||chr(2)||'\\2'||chr(1), 'g'), chr(2), chr(1))"
+        return f"select rid, {number} kind_no, '{kind}' kind, {least} least_n, string_split({marked}, chr(1)) parts from d where regexp_matches(t, {p})"
+
+    base = ", ".join(f"'{k}'" for k in BASE)
+    counts = ", ".join(f"count(*) filter (where kind = '{k}') n_{k}" for k in BASE)
+    one = "kind||':'||a||':'||b"
+    return f"""with d as (select row_number() over () rid, doc_id, replace(replace(coalesce("text", ''), chr(1), chr(3)), chr(2), chr(3)) t from documents),
+ m as ({' union all '.join(map(parts, range(len(RULES))))}),
+ u as (select rid, kind_no, kind, least_n, unnest(parts) p, generate_subscripts(parts, 1) i from m),
+ c as (select *, length(p) n, (sum(length(p)) over (partition by rid, kind_no order by i rows unbounded preceding))::bigint b from u),
+ s as (select *, lag(b - n) over (partition by rid, kind_no order by i) a from c),
+ g as (select rid, {counts}, string_agg({one}, ',' order by a, kind_no) filter (where kind in ({base})) base, string_agg({one}, ',' order by a, kind_no) spans from s where i % 3 = 0 and n >= least_n group by rid)
+ select doc_id, {', '.join(f'coalesce(n_{k}, 0) n_{k}' for k in BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join g using (rid)"""

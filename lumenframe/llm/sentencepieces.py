@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -171,11 +172,17 @@ class UnitCoder:
         return [*out, SPACE * run + units[-1]]
 
 
+@lru_cache(maxsize=1)
+def unit_coder(path: str, check: bool) -> UnitCoder:
+    """One per Python worker, so that its units serve all tasks the worker runs."""
+    return UnitCoder(path, check)
+
+
 def encode_decode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
     """doc_id, ids (array of int), decoded (text) for all rows. The model file must lie at model_path on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = UnitCoder(model_path, check)
+        coder = unit_coder(model_path, check)
         for batch in batches:
             ids, decoded = coder.encode(texts_of(batch.column(1)))
             ends = np.cumsum([0, *(len(b) // 4 for b in ids)], dtype="i4")
