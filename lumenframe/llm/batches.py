@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame
 
 #: Rows handed to Python at once inside an operator; a batch of very long texts stays small this way.
 SLICE_ROWS = 256
+#: Bytes of a slice, about, whatever its rows.
+SLICE_BYTES = 16 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        step = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow over small slices of each Arrow batch."""
-    return df.mapInArrow(lambda it: fn(slices(it)), schema)
+    return df.mapInArrow(lambda it: fn(slices(it, rows)), schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:

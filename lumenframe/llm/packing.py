@@ -15,70 +15,107 @@ of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import map_batches, texts_of
+from .batches import map_batches
 
 CAPACITY = 4096
 END_ID = 2
 WINDOW_TOKENS = 1 << 22
 #: Entries a task's word cache holds before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
+#: Texts tokenised at once: enough that most of their words recur.
+BATCH_ROWS = 2048
 #: Separators that str.split() knows and the tokenizer doesn't.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
+#: Marks that form a token run of their own behind a letter.
+MARKS = '.,!?;:#$%&*"'
+
+#: The byte alphabet's rule: printable bytes stand for themselves, the others for the characters from 256 on.
+BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
 
 
 class WordEncoder:
     """Ids of whole texts by a whitespace-dropping tokenizer, looked up word by word.
 
     The tokenizer never lets a token cross white space, so the ids of a text are
-    those of its words; each distinct word is encoded by the library once. A full
-    stop or comma after an ASCII letter is a token of its own and lower-casing is
-    part of the normaliser, so "Word." is put together from "word" and ".".
+    those of its words; each distinct word is encoded by the library once. A run of
+    marks behind a letter is cut off as a token run of its own and lower-casing is
+    part of the normaliser, so "Word!!" is put together from "word" and "!!". A word
+    of letters only is one run, which goes to the merges without the passes before.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.Sequence([])
+        self.words = {"": b""}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+    def _library(self, texts: list[str], only_merge: bool = False) -> list[bytes]:
+        tokenizer = self.merges if only_merge else self.tokenizer
+        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _spelt(word: str) -> str:
+        """A word in the byte alphabet of the merges."""
+        return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
 
-    def learn(self, new: set[str]) -> None:
-        words, parts, need = self.words, [], set()
+    def learn(self, new: list[str]) -> None:
+        words, parts, need, letters = self.words, [], set(), set()
         for word in new:
-            stem, mark = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
-            if stem.isascii():
+            stem = word.rstrip(MARKS)
+            simple = max(word) < "\u0130"  # up to here lower case is one to one and letters are composed
+            if not simple or not stem[-1:].isalpha():
+                stem = word
+            marks = word[len(stem) :]
+            if simple and "<|" not in stem:  # special tokens are matched as written
                 stem = stem.lower()
-            parts.append((word, stem, mark))
+            if stem != word:
+                parts.append((word, stem, marks))
+                if marks and marks not in words:
+                    need.add(marks)
             if stem not in words:
-                need.add(stem)
-        need |= {".", ","} - words.keys()
-        need = list(need)
+                (letters if simple and stem.isalpha() else need).add(stem)
+        need, letters = list(need), list(letters)
         words.update(zip(need, self._library(need)))
-        for word, stem, mark in parts:
-            words[word] = words[stem] + words[mark] if mark else words[stem]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if any(c in t for t in texts for c in NOT_WHITE):
-            return [self._library([t])[0] if any(c in t for c in NOT_WHITE) else self.encode([t])[0] for t in texts]
+        words.update(zip(letters, self._library([self._spelt(w) for w in letters], only_merge=True)))
+        for word, stem, marks in parts:
+            words[word] = words[stem] + words[marks] if marks else words[stem]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Arrow splits the texts, finds the distinct words and puts their ids in place; only distinct words become Python strings.
+        """
+        odd = pc.match_substring_regex(texts, f"[{NOT_WHITE}]")
+        if pc.any(odd).as_py():
+            return [self._library([t.as_py()])[0] if o.as_py() else self.encode(pa.array([t.as_py()]))[0] for t, o in zip(texts, odd)]
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        split = [t.split() for t in texts]
-        if new := set().union(*split).difference(self.words):
+            self.words = {"": b""}
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.words.get, distinct))
+        if new := [w for w, b in zip(distinct, found) if b is None]:
             self.learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            found = list(map(self.words.__getitem__, distinct))
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+        known = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        put = known.take(coded.indices)
+        at = put.offsets.to_numpy()[split.offsets.to_numpy()].tolist()
+        ids = put.values.to_numpy()
+        return [ids[i:j].tobytes() for i, j in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -157,7 +194,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             base += max((p[3] for p in pieces), default=-1) + 1
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(pc.fill_null(batch.column(1), ""))):
                 held.append((doc_id, ids + end))
                 tokens += len(ids) // 4 + 1
                 if tokens >= window_tokens:
@@ -165,4 +202,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                     held, tokens = [], 0
         yield from flush()
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES, rows=BATCH_ROWS)
