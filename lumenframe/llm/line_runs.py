@@ -26,15 +26,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.durable import cut
+from ..operators.durable import cut, keep
 
 MIN_WORDS = 50
 
 
 def _words(line: Column) -> Column:
     """Words of a line: its runs of characters other than space and tab-like control characters."""
-    squeezed = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(squeezed == "", 0).otherwise(F.char_length(squeezed) - F.char_length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1)
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(mark))
+    squeezed = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+    return F.transform(F.array(squeezed), lambda s: F.when(s == "", 0).otherwise(F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit(""))) + 1))[0]
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -56,7 +59,7 @@ def _ranked(groups: DataFrame, *order: str) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """d, h, i, at, words, rank of the places whose line occurs at least twice."""
-    lines = lines_of(docs)
+    lines = keep(lines_of(docs))
     counts = lines.groupBy("digest").count().where("count > 1").drop("count")
     return cut(lines.join(_ranked(counts, "digest"), "digest").select("d", "h", "i", "at", "words", "rank").distinct())
 
