@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into short paragraphs (sentences or lines of at most `UNIT_WORDS`
-words); their 64-bit digests are dealt into buckets by value and each bucket keeps a
+A text is cut into short paragraphs (sentences or lines, of at most `UNIT_CHARS`
+characters); their 64-bit digests are dealt into buckets by value and each bucket keeps a
 table of cells (count, xor of digests, xor of their check hashes), three cells per
 digest. Two sketches are subtracted cell by cell and peeled: a cell left with one
 digest gives it away and it is taken out of its other cells, until all are empty. A
@@ -19,16 +19,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-UNIT_WORDS = 8
-#: Digests that a bucket holds on average, and cells of its first table (three parts).
-BUCKET_KEYS = 12
-CELLS = 24
-#: Sizes tried in turn.
-RETRIES = (CELLS, 2 * CELLS, 4 * CELLS, 8 * CELLS, 16 * CELLS)
+UNIT_CHARS = 96
+#: Digests that a bucket holds on average.
+BUCKET_KEYS = 4
+#: Cells of a table (three parts, a bit of a long each), tried in turn.
+SIZES = (9, 18, 36)
+#: Cells of the table over all digests that a fingerprint is read off.
+FINGERPRINT_CELLS = 6
 ROUNDS = 14
 #: Documents per ordering bucket, and buckets at most.
 ORDER_ROWS, ORDER_BUCKETS = 4096, 512
-_UNIT = rf"(?:[^\s]*[^\s.!?;][^\S\n]+){{0,{UNIT_WORDS - 1}}}[^\s]+"
+_UNIT = rf"[^\s.!?;][^.!?;\n]{{0,{UNIT_CHARS - 1}}}"
 
 
 def digests(text: Column) -> Column:
@@ -36,16 +37,17 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0)), lambda u: F.xxhash64(u)))
 
 
-def _hit(k: str, c: str, cells: int) -> str:
-    """Whether digest k belongs to cell c: the parts read different bits of the digest."""
+def _cells_of(k: str, cells: int) -> str:
+    """The cells of digest k as bits of a long: the parts read different bits of the digest."""
     w = cells // 3
-    return f"(shiftrightunsigned({k}, 20 + 14 * ({c} div {w})) % {w} = {c} % {w})"
+    return " | ".join(f"shiftleft(1L, cast({w * part} + shiftrightunsigned({k}, {20 + 14 * part}) % {w} as int))" for part in range(3))
 
 
 def table_sql(keys: str, cells: int) -> str:
+    entries = f"transform({keys}, k -> named_struct('k', k, 'x', xxhash64(k), 'at', {_cells_of('k', cells)}))"
     return (
-        f"transform(sequence(0, {cells - 1}), c -> aggregate({keys}, named_struct('n', 0, 'k', 0L, 'x', 0L), "
-        f"(a, k) -> if({_hit('k', 'c', cells)}, named_struct('n', a.n + 1, 'k', a.k ^ k, 'x', a.x ^ xxhash64(k)), a)))"
+        f"transform(array({entries}), es -> transform(sequence(0, {cells - 1}), c -> aggregate(es, named_struct('n', 0, 'k', 0L, 'x', 0L), "
+        "(a, e) -> if(getbit(e.at, c) = 1, named_struct('n', a.n + 1, 'k', a.k ^ e.k, 'x', a.x ^ e.x), a))))[0]"
     )
 
 
@@ -62,43 +64,49 @@ def side_sql(n: str) -> str:
     return f"cast(greatest(1, ceil(sqrt({n} / {BUCKET_KEYS}.0D))) as int)"
 
 
+_FOUND = "array<struct<k:bigint,n:int,at:bigint>>"
+
+
 def peel_sql(a: str, b: str, cells: int) -> str:
-    """Digests of one side only as (k, n), n 1 for a's and -1 for b's; null if the table of this size can't be peeled."""
+    """Digests of one side only as (k, n, cells), n 1 for a's and -1 for b's; null if the table of this size can't be peeled."""
     difference = f"zip_with({table_sql(a, cells)}, {table_sql(b, cells)}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'x', x.x ^ y.x))"
-    take = f"transform(s.cells, (c, i) -> aggregate(pure, c, (z, p) -> if({_hit('p.k', 'i', cells)}, named_struct('n', z.n - p.n, 'k', z.k ^ p.k, 'x', z.x ^ xxhash64(p.k)), z)))"
+    single = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and c.x = xxhash64(c.k)), c -> named_struct('k', c.k, 'n', c.n, 'at', {_cells_of('c.k', cells)})))"
+    take = "transform(s.cells, (c, i) -> aggregate(pure, c, (z, p) -> if(getbit(p.at, i) = 1, named_struct('n', z.n - p.n, 'k', z.k ^ p.k, 'x', z.x ^ xxhash64(p.k)), z)))"
     step = (
-        "transform(array(array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and c.x = xxhash64(c.k)), c -> named_struct('k', c.k, 'n', c.n)))), "
-        f"pure -> if(size(pure) = 0, s, named_struct('cells', {take}, 'found', concat(s.found, pure))))[0]"
+        f"if(not s.go, s, transform(array({single}), pure -> if(size(pure) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), "
+        f"named_struct('cells', {take}, 'found', concat(s.found, pure), 'go', true)))[0])"
     )
     return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'found', cast(array() as array<struct<k:bigint,n:int>>)), (s, r) -> {step}, "
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'found', cast(array() as {_FOUND}), 'go', true), (s, r) -> {step}, "
         "s -> if(forall(s.cells, c -> c.n = 0 and c.k = 0 and c.x = 0), s.found, null))"
     )
 
 
-def difference_sql(a: str, b: str) -> str:
-    """Digests that only one of two texts has, over all buckets; a table too small is tried again larger, at last the plain lists."""
-    plain = "concat(transform(array_except(p.a, p.b), k -> named_struct('k', k, 'n', 1)), transform(array_except(p.b, p.a), k -> named_struct('k', k, 'n', -1)))"
-    tries = ", ".join(peel_sql("p.a", "p.b", c) for c in RETRIES)
+def difference_sql(a: str, b: str, first: int = 0) -> str:
+    """Digests that only one of two texts has, over all buckets; a table too small is tried again larger, at last the plain lists.
+
+    first is the place in SIZES to begin with: 0 suits versions of one text, 1 texts that share little.
+    """
+    plain = "concat(transform(array_except(p.a, p.b), k -> named_struct('k', k, 'n', 1, 'at', 0L)), transform(array_except(p.b, p.a), k -> named_struct('k', k, 'n', -1, 'at', 0L)))"
+    tries = ", ".join(peel_sql("p.a", "p.b", c) for c in SIZES[first:])
     side = side_sql(f"greatest(size({a}), size({b}))")
     pairs = f"transform(array({side}), m -> zip_with({buckets_sql(a, 'm')}, {buckets_sql(b, 'm')}, (x, y) -> named_struct('a', x, 'b', y)))[0]"
-    return f"flatten(transform({pairs}, p -> if(p.a = p.b, cast(array() as array<struct<k:bigint,n:int>>), coalesce({tries}, {plain}))))"
+    return f"flatten(transform({pairs}, p -> if(p.a = p.b, cast(array() as {_FOUND}), coalesce({tries}, {plain}))))"
 
 
-def likeness_sql(a: str, b: str) -> str:
+def likeness_sql(a: str, b: str, first: int = 0) -> str:
     """Twice the shared digests over all digests of both sides, from what peeling recovers."""
     total = f"(size({a}) + size({b}))"
-    return f"if({total} = 0, 1.0D, 1.0D - size({difference_sql(a, b)}) / cast({total} as double))"
+    return f"if({total} = 0, 1.0D, 1.0D - size({difference_sql(a, b, first)}) / cast({total} as double))"
 
 
 def fingerprint_sql(a: str) -> str:
-    """128 bits of the sketch's cells, in hex."""
-    cells = f"transform({buckets_sql(f'array_sort({a})', side_sql(f'size({a})'))}, p -> {table_sql('p', CELLS)})"
-    return f"transform(array({cells}), t -> concat(lower(lpad(hex(xxhash64(t)), 16, '0')), lower(lpad(hex(xxhash64(size(t), t)), 16, '0'))))[0]"
+    """128 bits of a table over all digests, in hex."""
+    return f"transform(array({table_sql(a, FINGERPRINT_CELLS)}), t -> concat(lower(lpad(hex(xxhash64(t)), 16, '0')), lower(lpad(hex(xxhash64(size({a}), t)), 16, '0'))))[0]"
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the following document by descending doc_id, the first after the last.
+    """doc_id, text, keys, next_text, next_keys (digests): the following document by descending doc_id, the first after the last.
 
     Rows are dealt into ranges of doc_id; the first row of each range also stands at the end of
     the range before it, so every range finds its followers by itself.
@@ -114,9 +122,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = {b: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
     heads = rows.groupBy("b").agg(F.max_by("text", F.struct("doc_id", "h")).alias("text"))
     moved = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("b")] if before else F.col("b")
-    ends = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", moved.alias("b"), F.lit(None).cast("long").alias("h"), F.lit(1).alias("end"))
+    ends = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", moved.alias("b"), F.lit(None).cast("long").alias("h"), F.lit(1).alias("end"), digests(F.col("text")).alias("keys"))
     order = Window.partitionBy("b").orderBy("end", F.desc_nulls_last("doc_id"), F.desc("h"))
-    return rows.withColumn("end", F.lit(0)).unionByName(ends).withColumn("next_text", F.lead("text").over(order)).where("end = 0").select("doc_id", "text", "next_text")
+    both = rows.withColumn("end", F.lit(0)).withColumn("keys", digests(F.col("text"))).unionByName(ends)
+    return both.withColumns({"next_text": F.lead("text").over(order), "next_keys": F.lead("keys").over(order)}).where("end = 0").select("doc_id", "text", "keys", "next_text", "next_keys")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -124,9 +133,9 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     pairs = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next_text", F.lit(1), third))
-    keyed = pairs.withColumn("edited", edited).select("doc_id", "n_chars", "edited", digests(F.col("text")).alias("ka"), digests(F.col("edited")).alias("ke"), digests(F.col("next_text")).alias("kn"))
+    keyed = pairs.withColumn("edited", edited).select("doc_id", "n_chars", "edited", F.col("keys").alias("ka"), digests(F.col("edited")).alias("ke"), F.col("next_keys").alias("kn"))
     return keyed.selectExpr(
         "doc_id", "n_chars", "edited",
         f"{fingerprint_sql('ka')} as fingerprint", f"{fingerprint_sql('ke')} as edited_fingerprint",
-        f"{likeness_sql('ka', 'ke')} as near_edited", f"{likeness_sql('ka', 'kn')} as near_next",
+        f"{likeness_sql('ka', 'ke')} as near_edited", f"{likeness_sql('ka', 'kn', first=1)} as near_next",
     )
