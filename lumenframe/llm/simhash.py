@@ -41,18 +41,26 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """Hashes of the text's shingles in order; that of no bytes for a text without words."""
     from xxhash import xxh64_intdigest as digest
 
     words = _WORD.findall(text.encode().translate(_LOWER))
     if not words:
-        return 0
+        return np.array([digest(b"", 42)], np.uint64)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(size)
     start, stop = (end - size)[:n].tolist(), (end[min(width, len(words)) - 1 :][:n] - 1).tolist()
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(start, stop)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(start, stop)), np.uint64, n)
+
+
+def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
+    if not _WORD.search(text.encode()):
+        return 0
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -213,15 +221,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     return rows.join(named.join(roots, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with only the rows whose doc_id names their near-duplicate group, one row each; null doc_ids stay only where the whole group is null.
+def text_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """t (xxhash64 of the text), g (its near-duplicate group) of every distinct text."""
+    text = F.col("text").cast("string")
+    return near_duplicates(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), radius).select(F.col("doc_id").alias("t"), F.col("component_id").alias("g")).distinct()
+
+
+def one_per_group(docs: DataFrame, radius: int = RADIUS, groups: DataFrame | None = None) -> DataFrame:
+    """docs with one row of each group of texts (t, g as of text_groups): that of the least doc_id, then the least text hash; null doc_ids come last.
 
-    The chosen ids are joined to the texts; the texts themselves are sent once at most.
+    The chosen rows are joined to the texts; the texts themselves are sent once at most.
     """
-    found = near_duplicates(docs, radius)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("simhash_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("simhash_gone")), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("simhash_again"))
-    once = kept.join(again, F.col("doc_id").eqNullSafe(F.col("simhash_again")), "left_anti")
-    rest = kept.join(again, F.col("doc_id").eqNullSafe(F.col("simhash_again")), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(rest)
+    groups = text_groups(docs, radius) if groups is None else groups
+    t, d = F.xxhash64(F.col("text").cast("string")), F.col("doc_id").cast("long")
+    least = docs.select(t.alias("t"), F.struct(d.isNull().alias("none"), d.alias("d")).alias("id")).groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    best = least.join(groups, "t").groupBy("g").agg(F.min(F.struct("id", "t", "rows")).alias("m"))
+    chosen = cut(best.select(F.col("m.id.d").alias("simhash_d"), F.col("m.t").alias("simhash_t"), (F.col("m.rows") > 1).alias("simhash_again")))
+    keyed = docs.withColumns({"simhash_kd": d, "simhash_kt": t})
+    kept = keyed.join(chosen, (F.col("simhash_kt") == F.col("simhash_t")) & F.col("simhash_kd").eqNullSafe(F.col("simhash_d")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.where("not simhash_again").select(*names)
+    return once.unionByName(kept.where("simhash_again").dropDuplicates(["simhash_t"]).select(*names))
