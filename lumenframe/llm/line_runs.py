@@ -1,6 +1,9 @@
 """Removal of repeated line runs by a distributed suffix array over line-ID sequences.
 
-Each document is a sequence of non-blank lines. A line that occurs once can be in no
+Each line is cut at its sentence ends (a space after . ! or ?), and a document is the
+sequence of these units, called lines below, that aren't blank: so a passage that starts
+or ends inside a line is found by the sentences it holds whole. A line that occurs once
+can be in no
 repeated run, so only repeated lines get a rank: their place in the sorted order of
 digests. Prefix doubling then ranks blocks of 2, 4, 8, ... lines by the pair of
 ranks of their halves, each time keeping only the pairs that occur again; ranks come
@@ -11,7 +14,7 @@ run is the union of the shortest stretches of that many words that start or end
 one of its lines, so reading the intervals at those depths finds all of it: a
 stretch of L lines is told by the ranks of its first and last 2^k lines, 2^k <= L,
 which overlap. All places of a run but the first, by (doc_id, digest of the text,
-line), are deleted.
+line), are deleted; of a line that keeps some sentences, the others and their spaces go.
 
 A stretch has at most `min_words` non-blank lines, so log2(min_words) + 1 depths do.
 
@@ -24,11 +27,15 @@ as rows with what is left; an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.durable import cut, keep
 
 MIN_WORDS = 50
+#: The space between two sentences of a line.
+SENTENCE_END = "(?<=[.!?]) "
+#: A unit's place is the line's number times this, and its number in the line.
+IN_LINE = 1 << 32
 
 
 def _words(line: Column) -> Column:
@@ -46,10 +53,10 @@ def _key(docs: DataFrame) -> list[Column]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """d, h (document), i (place among its non-blank lines), at (line number), words, digest."""
-    split = F.split(F.col("text"), "\n")
-    told = F.filter(F.transform(split, lambda x, n: F.struct(n.alias("at"), _words(x).alias("words"), F.md5(x).alias("digest"))), lambda s: s["words"] > 0)
-    return docs.where(F.col("text").isNotNull()).select(*_key(docs), F.posexplode(told).alias("i", "s")).select("d", "h", "i", "s.at", "s.words", F.unhex("s.digest").alias("digest"))
+    """d, h (document), i (place among its non-blank units), at (line and place in it), words, x and y (96 bits of digest)."""
+    units = lambda x, n: F.transform(F.split(x, SENTENCE_END), lambda y, m: F.struct((n * F.lit(IN_LINE) + m).alias("at"), _words(y).alias("words"), F.xxhash64(y).alias("x"), F.hash(y).alias("y")))
+    told = F.filter(F.flatten(F.transform(F.split(F.col("text"), "\n"), units)), lambda s: s["words"] > 0)
+    return docs.where(F.col("text").isNotNull()).select(*_key(docs), F.posexplode(told).alias("i", "s")).select("d", "h", "i", "s.at", "s.words", "s.x", "s.y")
 
 
 def _ranked(groups: DataFrame, *order: str) -> DataFrame:
@@ -57,11 +64,17 @@ def _ranked(groups: DataFrame, *order: str) -> DataFrame:
     return cut(groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """d, h, i, at, words, rank of the places whose line occurs at least twice."""
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, h, i, at, words, rank of the places whose line occurs at least twice, in rows of such neighbours with min_words words; no other can be in a run."""
     lines = keep(lines_of(docs))
-    counts = lines.groupBy("digest").count().where("count > 1").drop("count")
-    return cut(lines.join(_ranked(counts, "digest"), "digest").select("d", "h", "i", "at", "words", "rank").distinct())
+    counts = lines.groupBy("x", "y").count().where("count > 1").drop("count")
+    again = lines.join(counts, ["x", "y"]).distinct()
+    doc = Window.partitionBy("d", "h").orderBy("i")
+    # neighbours have the same difference of place and row number
+    rows = again.withColumn("island", F.col("i") - F.row_number().over(doc))
+    long = rows.withColumn("all", F.sum("words").over(Window.partitionBy("d", "h", "island"))).where(F.col("all") >= min_words)
+    places = cut(long.select("d", "h", "i", "at", "words", "x", "y"))
+    return cut(places.join(_ranked(places.select("x", "y").distinct(), "x", "y"), ["x", "y"]).select("d", "h", "i", "at", "words", "rank"))
 
 
 def stretches(places: DataFrame, min_words: int) -> DataFrame:
@@ -81,8 +94,8 @@ def stretches(places: DataFrame, min_words: int) -> DataFrame:
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, h, cut_lines (sorted line numbers to delete) of every document that loses lines."""
-    places = repeated_lines(docs)
+    """d, h, cut_lines (sorted places of the units to delete) of every document that loses any."""
+    places = repeated_lines(docs, min_words)
     wanted = cut(stretches(places, min_words))
     ranks = places.select("d", "h", "i", "rank")
     found = None
@@ -118,10 +131,17 @@ CUT = "line_runs_cut_lines"
 
 
 def with_cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text as remove_repeats leaves it, and CUT: the line numbers deleted (null for none)."""
+    """docs with text as remove_repeats leaves it, and CUT: the numbers of the lines deleted whole (null where nothing is deleted)."""
     names = docs.columns
     cuts = deleted_lines(docs, min_words).select(F.col("d").alias("line_runs_d"), F.col("h").alias("line_runs_h"), F.col("cut_lines").alias(CUT))
     d, h = _key(docs)
     joined = docs.withColumns({"line_runs_kd": d, "line_runs_kh": h}).join(cuts, (F.col("line_runs_kd") == F.col("line_runs_d")) & (F.col("line_runs_kh") == F.col("line_runs_h")), "left")
-    kept = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, n: ~F.array_contains(CUT, n)), "\n")
-    return joined.select(*(F.when(F.col(CUT).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in names), CUT)
+
+    def rest(line: Column, n: Column) -> Column:
+        """What a line keeps; null for nothing."""
+        kept = F.filter(F.split(line, SENTENCE_END), lambda _, m: ~F.array_contains(CUT, n * F.lit(IN_LINE) + m))
+        return F.when(F.size(kept) > 0, F.array_join(kept, " "))
+
+    left = joined.select(*(F.col(f"`{c}`") for c in names), F.when(F.col(CUT).isNotNull(), F.transform(F.split(F.col("text"), "\n"), rest)).alias("line_runs_left"))
+    gone = F.array_compact(F.transform("line_runs_left", lambda x, n: F.when(x.isNull(), n)))
+    return left.select(*(F.coalesce(F.array_join("line_runs_left", "\n"), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names), gone.alias(CUT))
