@@ -4,8 +4,10 @@ Every text is compressed piece by piece with either dictionary; the difference o
 the compressed sizes, over the plain size, tells which text it resembles. With the
 compressed rate itself and the length it becomes a probability by a logistic
 calibration. Dictionaries and calibration are fitted on a sample of about
-`fit_rows` labelled rows, chosen by a hash of the id (one half each, so calibration
-sees texts the dictionaries haven't); scoring reads every whole text.
+`fit_rows` labelled rows, chosen by a hash of the id (one half each by a hash of the text,
+so calibration sees texts the dictionaries haven't). Calibration and scoring read every
+whole text; a dictionary is trained on pieces from anywhere in its texts, the TRAIN_PIECES
+least by hash where there are more.
 
 Defined cases: null text counts as empty and gets the score of length zero; rows
 without a label or text don't train; without both labels every score is the share
@@ -28,22 +30,36 @@ FIT_ROWS = 6_000
 DICTIONARY_BYTES = 1 << 16
 #: Bytes compressed at once: short enough that the dictionary, not the text itself, explains a piece.
 PIECE = 1024
-#: Bytes of one text that may go into a dictionary.
-TRAIN_BYTES = 4096
+#: Pieces that one dictionary is trained on at most, drawn by hash from all of its texts (6 MB).
+TRAIN_PIECES = 6144
 LEVEL = 1
 
 
-def train_dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from pieces of the texts; their raw beginning parts where they are too few for training."""
+def cut_pieces(data: bytes) -> list[bytes]:
+    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+
+
+def train_dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary from pieces of texts; the last of them as they are where they are too few for training."""
     import zstandard
 
-    pieces = [b[i : i + PIECE] for t in texts for b in [t.encode()[:TRAIN_BYTES]] for i in range(0, len(b), PIECE)]
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[-size:]
 
 
+def drawn_pieces(texts: DataFrame, pieces: int = TRAIN_PIECES) -> list[bytes]:
+    """Pieces of the whole texts (column text): all of them, or the given number least by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([p for t in texts_of(batch.column(0)) for p in cut_pieces(t.encode())], pa.binary())], names=["piece"])
+
+    found = map_batches(texts.select("text"), run, "piece binary").select(F.xxhash64("piece").alias("h"), "piece")
+    return [bytes(r["piece"]) for r in found.orderBy("h", "piece").limit(pieces).collect()]
+
+
 class Compressors:
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
@@ -59,7 +75,7 @@ class Compressors:
         data = text.encode()
         if not data:
             return np.array([0.0, 0.0, 3.0])
-        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+        pieces = cut_pieces(data)
         good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self.both)
         return np.array([10 * (bad - good) / len(data), (good + bad) / len(data) - 1, 3 / (1 + len(data) / 50)])
 
@@ -71,17 +87,28 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from the rows of labels (doc_id, quality) where train holds. Each label gives at most half of fit_rows texts."""
-    each = []
-    for y in (0, 1):
-        each.append([(r["text"], y) for r in labelled_sample(docs, labels.where(F.col("quality") == y), "quality", train, fit_rows // 2).select(F.substring("text", 1, 4 * TRAIN_BYTES).alias("text")).orderBy(F.xxhash64("text")).collect()])
-    share = (len(each[1]) + 1) / (len(each[0]) + len(each[1]) + 2)
-    if not each[0] or not each[1]:
-        return Model(b"", b"", np.array([0, 0, 0, np.log(share / (1 - share))]))
-    bad, good = (train_dictionary([t for t, _ in rows[::2]]) for rows in each)
-    coder = Compressors(good, bad)
-    rows = each[0][1::2] + each[1][1::2] or each[0] + each[1]
-    x, y = np.array([coder.features(t) for t, _ in rows]), np.array([v for _, v in rows], float)
-    return Model(good, bad, logistic_fit(x, y, np.zeros(4), 0.01))
+    each = [labelled_sample(docs, labels.where(F.col("quality") == y), "quality", train, fit_rows // 2) for y in (0, 1)]
+    sample = each[0].union(each[1]).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2))).persist()
+    try:
+        rows = {(r["y"], r["half"]): r["count"] for r in sample.groupBy("y", "half").count().collect()}
+        n_bad, n_good = (rows.get((y, 0), 0) + rows.get((y, 1), 0) for y in (0, 1))
+        share = (n_good + 1) / (n_bad + n_good + 2)
+        if not n_bad or not n_good:
+            return Model(b"", b"", np.array([0, 0, 0, np.log(share / (1 - share))]))
+        # a label too rare for two halves gives all of its texts to both
+        bad, good = (train_dictionary(drawn_pieces(sample.where((F.col("y") == y) & (F.col("half") == 0)) if (y, 0) in rows else sample.where(F.col("y") == y))) for y in (0, 1))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder = Compressors(good, bad)
+            for batch in batches:
+                x = [coder.features(t).tolist() for t in texts_of(batch.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+
+        seen = sample.where(" or ".join(f"y = {y} and half = 1" if (y, 1) in rows else f"y = {y}" for y in (0, 1)))
+        found = sorted((r["x"], r["y"]) for r in map_batches(seen.select("text", "y"), run, "x array<double>, y int").collect())
+    finally:
+        sample.unpersist()
+    return Model(good, bad, logistic_fit(np.array([x for x, _ in found]), np.array([y for _, y in found], float), np.zeros(4), 0.01))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
