@@ -1,28 +1,32 @@
 """Removal of repeated line runs by a distributed suffix array over line-ID sequences.
 
-Each line is cut at its sentence ends (a space after . ! or ?), and a document is the
-sequence of these units, called lines below, that aren't blank: so a passage that starts
-or ends inside a line is found by the sentences it holds whole. A line that occurs once
-can be in no
-repeated run, so only repeated lines get a rank: their place in the sorted order of
-digests. Prefix doubling then ranks blocks of 2, 4, 8, ... lines by the pair of
-ranks of their halves, each time keeping only the pairs that occur again; ranks come
-from a range-partitioned sort of the distinct pairs, never from one task. Suffixes of
-equal rank at a depth are a longest-common-prefix interval: the places of one
-repeated run. A run counts when it holds `min_words` words. Every longest repeated
-run is the union of the shortest stretches of that many words that start or end at
-one of its lines, so reading the intervals at those depths finds all of it: a
-stretch of L lines is told by the ranks of its first and last 2^k lines, 2^k <= L,
-which overlap. All places of a run but the first, by (doc_id, digest of the text,
-line), are deleted; of a line that keeps some sentences, the others and their spaces go.
-
-A stretch has at most `min_words` non-blank lines, so log2(min_words) + 1 depths do.
-
-Defined cases: null text has no lines and stays null; blank lines are in no run and
-stay; lines may repeat inside one
-document, too; rows with the same doc_id and text are one document and keep or lose
-the same lines; null doc_ids come first; texts and documents emptied by deletion stay
-as rows with what is left; an empty table gives no rows; other columns are kept.
+A document is a sequence of lines, each cut further at its sentence ends (a space after
+a single . ! or ?; several marks in a row end none), so that a passage that starts or ends inside a line is found by the sentences
+it holds whole; white space behind a cut belongs to it. These units are called lines
+below. A line that occurs once can be in no repeated run, so only repeated lines get a
+rank: their place in the sorted order of digests. Prefix doubling then ranks blocks of
+2, 4, 8, ... lines by the pair of ranks of their halves, each time keeping only the
+pairs that occur again; ranks come from a range-partitioned sort of the distinct pairs,
+never from one task. Suffixes of equal rank at a depth are a longest-common-prefix
+interval: the places of one repeated run.
+
+A run counts when it holds `min_words` words (1: any repeated line). Every longest
+repeated run is the union of the shortest stretches of that many words that start or
+end at one of its lines, so reading the intervals of those stretches finds all of it:
+one of L lines is told by the ranks of its first and last 2^k lines, 2^k <= L, which
+overlap. All places of a stretch but the first, by (doc_id, digest of the text, line),
+are deleted. A row of doubling is left out where no stretch of its neighbourhood is that
+long. Groups that hold over a 512th of the places are at most 512; they are joined by
+broadcast, the others by key, so that no task gets a large group whole.
+
+Defined cases: null text has no lines and stays null; blank lines are in no run, don't
+part one and stay; lines may repeat inside one document, too; rows with the same doc_id
+and text are one document and keep or lose the same lines; null doc_ids come first, in
+the order of their text's digest; between two lines that stay next to each other after a
+deletion stands the first line break that stood between them, else the first space; a
+very long text is one array of lines and rows of places; texts and documents emptied by
+deletion stay as rows with what is left; an empty table gives no rows; other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,31 +36,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..operators.durable import cut, keep
 
 MIN_WORDS = 50
-#: The space between two sentences of a line.
-SENTENCE_END = "(?<=[.!?]) "
-#: A unit's place is the line's number times this, and its number in the line.
-IN_LINE = 1 << 32
+#: Groups that hold more than this part of all places are broadcast: there are HOT at most.
+HOT = 512
+WHITE = r"[\x20\x09-\x0D]"
+#: What stands between two lines: a line break or the space behind a sentence, with the white space after it.
+BREAK = rf"[\n\x20](?<=\n|[^.!?][.!?]\x20){WHITE}*"
 
 
-def _words(line: Column) -> Column:
-    """Words of a line: its runs of characters other than space and tab-like control characters."""
-    odd = F.lit(False)
-    for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
-        odd = odd | F.contains(line, F.lit(mark))
-    squeezed = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
-    return F.transform(F.array(squeezed), lambda s: F.when(s == "", 0).otherwise(F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit(""))) + 1))[0]
+def _words(line: Column, odd: Column) -> Column:
+    """Words of a line: its runs of characters that aren't white. odd: whether its text holds white space other than single spaces and line breaks."""
+    plain = F.trim(line)
+    spaces = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
+    return F.when(odd, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))).when(plain == "", 0).otherwise(spaces + 1)
 
 
-def _key(docs: DataFrame) -> list[Column]:
-    """A document's order and identity; null ids take the least long."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h")]
+def _key(text: Column) -> list[Column]:
+    """A document's order and identity; a null id is the digest of its text below all ids from 0 on."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)))).alias("d"), F.hash(text).alias("h")]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """d, h (document), i (place among its non-blank units), at (line and place in it), words, x and y (96 bits of digest)."""
-    units = lambda x, n: F.transform(F.split(x, SENTENCE_END), lambda y, m: F.struct((n * F.lit(IN_LINE) + m).alias("at"), _words(y).alias("words"), F.xxhash64(y).alias("x"), F.hash(y).alias("y")))
-    told = F.filter(F.flatten(F.transform(F.split(F.col("text"), "\n"), units)), lambda s: s["words"] > 0)
-    return docs.where(F.col("text").isNotNull()).select(*_key(docs), F.posexplode(told).alias("i", "s")).select("d", "h", "i", "s.at", "s.words", "s.x", "s.y")
+    """d, h (document), i (place in it), words, x and y (96 bits of digest) of all lines that aren't blank."""
+    text = F.col("text").cast("string")
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(text, F.lit(mark))
+    # what a document has once is computed below the explode; outer: a split is never empty, and no filter on its size makes Spark cut the text twice
+    once = docs.where(text.isNotNull()).select(*_key(text), odd.alias("odd"), F.split(text, BREAK).alias("lines"))
+    lines = once.select("d", "h", "odd", F.posexplode_outer("lines").alias("i", "line"))
+    return lines.select("d", "h", "i", _words(F.col("line"), F.col("odd")).alias("words"), F.xxhash64("line").alias("x"), F.hash("line").alias("y")).where("words > 0")
 
 
 def _ranked(groups: DataFrame, *order: str) -> DataFrame:
@@ -64,84 +72,105 @@ def _ranked(groups: DataFrame, *order: str) -> DataFrame:
     return cut(groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
 
 
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the columns of their group (keys, c rows, more); groups of over total / HOT rows, HOT at most, by broadcast."""
+    large = groups.where(F.col("c") * HOT > total)
+    if large.isEmpty():
+        return rows.join(groups.drop("c"), keys)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.where(F.col("c") * HOT <= total).drop("c"), keys)
+    return rows.join(F.broadcast(large.drop("c")), keys).unionByName(rest)
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, h, i, at, words, rank of the places whose line occurs at least twice, in rows of such neighbours with min_words words; no other can be in a run."""
+    """d, h, i, rank, fore, back, deep of the places whose line occurs at least twice, in rows of such neighbours with min_words words; no other can be in a run.
+
+    fore and back: lines of the shortest stretch of min_words words that starts or ends here (0: none); deep: the most of them among the neighbours.
+    """
     lines = keep(lines_of(docs))
-    counts = lines.groupBy("x", "y").count().where("count > 1").drop("count")
-    again = lines.join(counts, ["x", "y"]).distinct()
+    ranked = _ranked(lines.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1"), "x", "y")
+    again = _join_groups(lines, ranked, ["x", "y"], lines.count()).select("d", "h", "i", "words", "rank")
+    once = again.repartition("d", "h").dropDuplicates(["d", "h", "i"])
+    return cut(_stretched(once, min_words))
+
+
+def _stretched(places: DataFrame, min_words: int) -> DataFrame:
+    """Stretches by running word counts: all windows share the documents' partitioning."""
     doc = Window.partitionBy("d", "h").orderBy("i")
     # neighbours have the same difference of place and row number
-    rows = again.withColumn("island", F.col("i") - F.row_number().over(doc))
-    long = rows.withColumn("all", F.sum("words").over(Window.partitionBy("d", "h", "island"))).where(F.col("all") >= min_words)
-    places = cut(long.select("d", "h", "i", "at", "words", "x", "y"))
-    return cut(places.join(_ranked(places.select("x", "y").distinct(), "x", "y"), ["x", "y"]).select("d", "h", "i", "at", "words", "rank"))
+    rows = places.withColumn("island", F.col("i") - F.row_number().over(doc))
+    island = Window.partitionBy("d", "h", "island")
+    summed = rows.withColumns({"upto": F.sum("words").over(island.orderBy("i")), "all": F.sum("words").over(island), "head": F.min("i").over(island)}).where(F.col("all") >= min_words)
+    summed = summed.withColumn("before", F.col("upto") - F.col("words"))
+    # the last line that starts less than min_words words from here, and the last that ends min_words words before this one's end
+    stop = F.max(F.struct("i", "upto")).over(island.orderBy("before").rangeBetween(Window.unboundedPreceding, min_words - 1))
+    start = F.max("i").over(island.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words))
+    both = summed.withColumns({"stop": stop, "start": start})
+    fore = F.when(F.col("stop.upto") - F.col("before") >= min_words, F.col("stop.i") - F.col("i") + 1).otherwise(0)
+    back = F.when(F.col("upto") >= min_words, F.col("i") - F.coalesce(F.col("start") + 1, F.col("head")) + 1).otherwise(0)
+    told = both.select("d", "h", "island", "i", "rank", fore.alias("fore"), back.alias("back"))
+    return told.withColumn("deep", F.max(F.greatest("fore", "back")).over(island)).drop("island")
+
+
+def depths(places: DataFrame) -> DataFrame:
+    """k, d, h, i, rank: blocks of 2^k lines that occur again, by the rank of their content."""
+    ranks, found, k = places.select("d", "h", "i", "rank", "deep"), None, 0
+    while True:
+        told = ranks.select(F.lit(k).alias("k"), "d", "h", "i", "rank")
+        found = told if found is None else found.union(told)
+        size = 1 << k
+        here = Window.partitionBy("d", "h").orderBy("i").rangeBetween(size, size)
+        deeper = ranks.where(F.col("deep") >= 2 * size)
+        if deeper.isEmpty():
+            return found
+        pairs = cut(deeper.select("d", "h", "i", "deep", F.col("rank").alias("r1"), F.first("rank").over(here).alias("r2")).where("r2 is not null"))
+        classes = _ranked(pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1"), "r1", "r2")
+        ranks = cut(_join_groups(pairs, classes, ["r1", "r2"], pairs.count()).select("d", "h", "i", "rank", "deep"))
+        k += 1
 
 
-def stretches(places: DataFrame, min_words: int) -> DataFrame:
-    """d, h, i, n: the shortest stretches of at least min_words words in n repeated neighbouring lines, by start and by end.
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, h, cut_lines (sorted places of the lines to delete) of every document that loses any."""
+    places = repeated_lines(docs, min_words)
+    ranks = depths(places)
+    both = F.array(F.struct(F.col("i").alias("i"), F.col("fore").alias("n")), F.struct((F.col("i") - F.col("back") + 1).alias("i"), F.col("back").alias("n")))
+    wanted = places.select("d", "h", F.explode(both).alias("s")).select("d", "h", "s.i", "s.n").where("n > 0").distinct()
+    # a stretch of 2^k to 2^(k+1) - 1 lines: the ranks of its first and last 2^k lines, which cover it, tell it
+    wanted = wanted.withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")).withColumn("j", F.expr("i + n - shiftleft(1, k)"))
+    first = wanted.join(ranks.withColumnRenamed("rank", "r1"), ["k", "d", "h", "i"])
+    told = cut(first.join(ranks.select("k", "d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["k", "d", "h", "j"]).select("d", "h", "i", "n", "r1", "r2"))
+    groups = told.groupBy("n", "r1", "r2").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "i")).alias("first")).where("c > 1")
+    later = _join_groups(told, cut(groups), ["n", "r1", "r2"], told.count()).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
+    return later.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1))))).alias("cut_lines"))
 
-    Each place sees the lines after it up to where the words suffice: at most min_words of them.
-    """
-    doc = "partition by d, h order by i"
-    ahead = places.selectExpr(
-        "d", "h", "i", "words",
-        f"collect_list(struct(i, words)) over ({doc} rows between current row and {min_words - 1} following) as after",
-        f"collect_list(struct(i, words)) over ({doc} rows between {min_words - 1} preceding and current row) as upto",
-    )
-    walk = "aggregate({xs}, named_struct('w', 0L, 'n', 0, 'ok', true), (a, x) -> if(a.ok and a.w < {m}, if(x.i = i + {sign} * a.n, named_struct('w', a.w + x.words, 'n', a.n + 1, 'ok', true), named_struct('w', a.w, 'n', a.n, 'ok', false)), a), a -> if(a.w >= {m}, a.n, 0))"
-    both = ahead.selectExpr("d", "h", "i", walk.format(xs="after", m=min_words, sign=1) + " as fore", walk.format(xs="reverse(upto)", m=min_words, sign=-1) + " as back")
-    return both.selectExpr("d", "h", "explode(array(named_struct('i', i, 'n', fore), named_struct('i', i - back + 1, 'n', back))) as s").where("s.n > 0").select("d", "h", "s.i", "s.n").distinct()
 
+def remaining(text: Column, gone: Column) -> Column:
+    """A text less the lines at the given places."""
+    lines, breaks = F.split(text, BREAK), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, h, cut_lines (sorted places of the units to delete) of every document that loses any."""
-    places = repeated_lines(docs, min_words)
-    wanted = cut(stretches(places, min_words))
-    ranks = places.select("d", "h", "i", "rank")
-    found = None
-    size = 1
-    while size <= min_words:
-        # stretches of size..2*size-1 lines: the ranks of their first and last `size` lines, which cover them, tell them
-        mine = wanted.where((F.col("n") >= size) & (F.col("n") < 2 * size))
-        first = mine.join(ranks.withColumnRenamed("rank", "r1"), ["d", "h", "i"])
-        both = first.withColumn("j", F.col("i") + F.col("n") - size).join(ranks.select("d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["d", "h", "j"])
-        head = both.groupBy("n", "r1", "r2").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "i")).alias("first")).where("c > 1")
-        later = both.join(head, ["n", "r1", "r2"]).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first"))).select("d", "h", "i", "n")
-        found = later if found is None else found.union(later)
-        if 2 * size > min_words:
-            break
-        pairs = ranks.withColumnRenamed("rank", "r1").withColumn("j", F.col("i") + size).join(ranks.select("d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["d", "h", "j"])
-        classes = _ranked(pairs.groupBy("r1", "r2").count().where("count > 1").drop("count"), "r1", "r2")
-        ranks = cut(pairs.join(classes, ["r1", "r2"]).select("d", "h", "i", "rank"))
-        size *= 2
-        if ranks.isEmpty():
-            break
-    covered = found.select("d", "h", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("i")).distinct()
-    ats = places.select("d", "h", "i", "at").join(covered, ["d", "h", "i"], "left_semi")
-    return ats.groupBy("d", "h").agg(F.array_sort(F.collect_list("at")).alias("cut_lines"))
+    def rebuilt(lines: Column, breaks: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
 
+        def between(k: Column, after: Column) -> Column:
+            inside = F.slice(breaks, k + 1, after - k)
+            return F.coalesce(F.get(F.filter(inside, lambda b: F.contains(b, F.lit("\n"))), F.lit(0)), F.get(inside, F.lit(0)))
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies of repeated line runs deleted from text; every row and other column stays."""
-    return with_cuts(docs, min_words).select(*(f"`{c}`" for c in docs.columns))
+        def joined(kept: Column) -> Column:
+            return F.array_join(F.transform(kept, lambda k, n: F.concat(F.get(lines, k), F.when(n + 1 < F.size(kept), between(k, F.get(kept, n + 1))).otherwise(F.lit("")))), "")
+
+        return F.transform(F.array(kept), joined)[0]
+
+    return F.transform(F.array(F.struct(lines.alias("l"), breaks.alias("b"))), lambda s: rebuilt(s["l"], s["b"]))[0]
 
 
-#: Column of with_cuts; long enough not to clash with one of the input.
-CUT = "line_runs_cut_lines"
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the later copies of repeated line runs deleted from text; every row and other column stays."""
+    return with_cuts(docs, min_words).select("row.*")
 
 
 def with_cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text as remove_repeats leaves it, and CUT: the numbers of the lines deleted whole (null where nothing is deleted)."""
-    names = docs.columns
-    cuts = deleted_lines(docs, min_words).select(F.col("d").alias("line_runs_d"), F.col("h").alias("line_runs_h"), F.col("cut_lines").alias(CUT))
-    d, h = _key(docs)
-    joined = docs.withColumns({"line_runs_kd": d, "line_runs_kh": h}).join(cuts, (F.col("line_runs_kd") == F.col("line_runs_d")) & (F.col("line_runs_kh") == F.col("line_runs_h")), "left")
-
-    def rest(line: Column, n: Column) -> Column:
-        """What a line keeps; null for nothing."""
-        kept = F.filter(F.split(line, SENTENCE_END), lambda _, m: ~F.array_contains(CUT, n * F.lit(IN_LINE) + m))
-        return F.when(F.size(kept) > 0, F.array_join(kept, " "))
-
-    left = joined.select(*(F.col(f"`{c}`") for c in names), F.when(F.col(CUT).isNotNull(), F.transform(F.split(F.col("text"), "\n"), rest)).alias("line_runs_left"))
-    gone = F.array_compact(F.transform("line_runs_left", lambda x, n: F.when(x.isNull(), n)))
-    return left.select(*(F.coalesce(F.array_join("line_runs_left", "\n"), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names), gone.alias(CUT))
+    """row (a struct of docs' columns, text as remove_repeats leaves it) and cut_lines (places of the deleted lines; null for none)."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_key(F.col("text").cast("string")))
+    joined = whole.join(deleted_lines(docs, min_words), ["d", "h"], "left")
+    old = F.col("row")["text"].cast("string")
+    text = F.when(F.col("cut_lines").isNotNull(), remaining(old, F.col("cut_lines"))).otherwise(old)
+    return joined.select(F.struct(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns)).alias("row"), "cut_lines")

@@ -72,7 +72,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return line_runs.with_cuts(docs).select("doc_id", "text", F.coalesce(F.size(line_runs.CUT), F.lit(0)).alias("lines_removed"))
+    return line_runs.with_cuts(docs).select("row.doc_id", "row.text", F.coalesce(F.size("cut_lines"), F.lit(0)).alias("lines_removed"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
