@@ -8,6 +8,11 @@ each power of two in its binary form; documents go in descending order of
 estimated cost (linear plus quadratic attention) to the cheapest sequence with
 room for them, and are cut only where no sequence holds them whole.
 
+A worker keeps the ids of words it met, CACHE_BYTES at most; a window holds the ids of
+about `window_tokens` and of one text more. Words are looked up by shortcuts that one
+kind of tokenizer file allows; a worker tries them on words of all shapes first and
+asks the library for whole texts where they don't hold.
+
 Defined cases: a null or empty text is one piece holding just the end id; rows
 that repeat are packed once each; an empty table gives no pieces; other columns
 of the input are ignored, whatever their names.
@@ -30,11 +35,15 @@ from .batches import map_batches
 
 CAPACITY = 4096
 END_ID = 2
-WINDOW_TOKENS = 1 << 22
-#: Entries a task's word cache holds before it starts afresh.
-CACHE_WORDS = 1_500_000
+WINDOW_TOKENS = 1 << 20
+#: Bytes a worker's word cache may take before it starts afresh, about.
+CACHE_BYTES = 64 << 20
+#: What a cached word takes beside its characters and ids: two object heads and a place in the table.
+WORD_BYTES = 200
 #: Texts tokenised at once: enough that most of their words recur.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
+#: Ids of the pieces given out at once.
+OUT_TOKENS = 1 << 19
 #: Separators that str.split() knows and the tokenizer doesn't.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 #: Marks that form a token run of their own behind a letter.
@@ -60,12 +69,24 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.Sequence([])
-        self.words = {"": b""}
+        self.words, self.bytes = {"": b""}, 0
+        self.as_assumed = self._agrees()
 
     def _library(self, texts: list[str], only_merge: bool = False) -> list[bytes]:
         tokenizer = self.merges if only_merge else self.tokenizer
         return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    #: Words of all shapes that the shortcuts below tell apart.
+    PROBES = ["Word", "word!!", "WORD?!", "don't", "Él.", "Ünïcode,", "x1:", "3.14", "a-b;", '"quoted"', "ΣΊΣΥΦΟΣ", "日本語", "e\u0301t", "naïve…", "#tag#", "<|x|>", "a__b", "...", "№5", "ǅ!"]
+
+    def _agrees(self) -> bool:
+        """Whether this tokenizer file works as the shortcuts assume; another one is asked for each whole text instead."""
+        self.as_assumed = True
+        self.learn(list(self.PROBES))
+        line = " ".join(self.PROBES) + "\t" + "\n ".join(self.PROBES)
+        whole = self._library(self.PROBES) + self._library([line])
+        return whole[:-1] == [self.words[w] for w in self.PROBES] and whole[-1] == b"".join(self.words[w] for w in self.PROBES) * 2
+
     @staticmethod
     def _spelt(word: str) -> str:
         """A word in the byte alphabet of the merges."""
@@ -92,6 +113,7 @@ class WordEncoder:
         words.update(zip(letters, self._library([self._spelt(w) for w in letters], only_merge=True)))
         for word, stem, marks in parts:
             words[word] = words[stem] + words[marks] if marks else words[stem]
+        self.bytes += sum(WORD_BYTES + len(w) + len(words[w]) for w in new)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
@@ -101,8 +123,10 @@ class WordEncoder:
         odd = pc.match_substring_regex(texts, f"[{NOT_WHITE}]")
         if pc.any(odd).as_py():
             return [self._library([t.as_py()])[0] if o.as_py() else self.encode(pa.array([t.as_py()]))[0] for t, o in zip(texts, odd)]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
+        if not self.as_assumed:
+            return self._library(texts.to_pylist())
+        if self.bytes > CACHE_BYTES:
+            self.words, self.bytes = {"": b""}, 0
         split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
@@ -177,14 +201,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             nonlocal base
             lengths = [len(b) // 4 for _, b in held]
             pieces = assign(lengths, capacity)
-            for at in range(0, len(pieces), 2048):
-                part = pieces[at : at + 2048]
+            ends = np.cumsum([p[2] for p in pieces]) // OUT_TOKENS
+            for part in np.split(np.arange(len(pieces)), np.flatnonzero(np.diff(ends)) + 1):
+                part = [pieces[k] for k in part]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([held[d][0] for d, *_ in part], pa.int64()),
                         pa.array([p[1] for p in part], pa.int64()),
                         pa.array([p[2] for p in part], pa.int64()),
-                        pa.array([held[d][1][4 * s : 4 * (s + n)] for d, s, n, _, _ in part], pa.binary()),
+                        pa.array([memoryview(held[d][1])[4 * s : 4 * (s + n)] for d, s, n, _, _ in part], pa.binary()),
                         pa.array([lengths[p[0]] for p in part], pa.int64()),
                         pa.array([base + p[3] for p in part], pa.int64()),
                         pa.array([p[4] for p in part], pa.int64()),
