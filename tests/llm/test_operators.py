@@ -213,24 +213,6 @@ def test_sentencepieces_like_the_library(spark, odd, none):
     assert sentencepieces.encode_decode(none, path).count() == 0
 
 
-def test_sketches_recover_the_difference(spark, odd, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 300")
-    texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
-    follow = {d: texts[(n + 1) % len(texts)][1] for n, (d, _) in enumerate(texts)}
-    mine = dict(texts)
-    pairs = sketches.with_next(docs)
-    exact = lambda a, b: 1 - (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))) / (F.size(a) + F.size(b))
-    compared = pairs.select("doc_id", exact("keys", "next_keys").alias("want")).join(sketches.compare_edits(docs), "doc_id").collect()
-    for r in compared:
-        third = len(mine[r["doc_id"]]) // 3
-        text = mine[r["doc_id"]]
-        assert r["edited"] == text[: len(text) - third] + follow[r["doc_id"]][:third]
-        assert r["n_chars"] == len(text) and (r["want"] is None or abs(r["near_next"] - r["want"]) < 1e-9)
-    same = {hashlib.sha256(mine[r["doc_id"]].encode()).hexdigest(): r["fingerprint"] for r in compared}
-    assert all(same[hashlib.sha256(mine[r["doc_id"]].encode()).hexdigest()] == r["fingerprint"] for r in compared)
-    assert sketches.compare_edits(odd).count() == 12 and sketches.compare_edits(none).count() == 0
-
-
 def brute_line_runs(docs, min_words):
     """Every stretch of lines with min_words words that an earlier place holds loses its later places."""
     places = defaultdict(list)
