@@ -5,19 +5,20 @@ addresses), calendar dates and e-mail names are permuted within their format by
 keyed Feistel network, so equal values get equal pseudonyms in every document and
 different values never share one. Digits stay digits, letters stay letters of their
 case, separators stay where they are, a card stays valid, an address's parts stay
-below 256, a date stays a date between 1900 and 2099. Column functions only: no
-shuffle, and rows without a digit or an "@" aren't looked at twice.
+below 256, a date stays a date between 1900 and 2099. Addresses whose parts have
+leading zeros aren't valid. Column functions only: no shuffle, and rows without a digit
+or an "@" aren't looked at twice. All text around the values stays as it is.
 
 Defined cases: null text stays null; repeated rows give equal results; candidates
-that fail validation stay as they are; an empty table gives no rows; all other
-columns are kept.
+that fail validation stay as they are; of a very long text the values are one array; an
+empty table gives no rows; all other columns are kept, whatever their names, but one
+called as the added one, which gives way to it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SEPARATOR, OTHER = "\x01", "\x03"
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
@@ -138,7 +139,7 @@ def kind_of(text: Column) -> Column:
     """Kind of a whole candidate that passes validation, else null."""
     digits = _digits(text)
     valid = {
-        "ip": F.forall(F.split(text, r"\."), lambda p: p.cast("int") < 256),
+        "ip": F.forall(F.split(text, r"\."), lambda p: (p.cast("int") < 256) & ((F.char_length(p) == 1) | ~F.startswith(p, F.lit("0")))),
         "date": _day(text).isNotNull(),
         "card": luhn_sum(digits) % 10 == 0,
         "phone": F.char_length(digits).between(9, 15),
@@ -171,15 +172,16 @@ FOUND = "pseudonyms_found"
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal values in text replaced, and FOUND: array of (kind, value, pseudonym) in order (empty for none)."""
-    plain = F.translate(F.col("text"), SEPARATOR, OTHER)
-    candidates = "|".join(PATTERNS.values())
-    marked = F.split(F.regexp_replace(plain, f"({candidates})", f"{SEPARATOR}$1{SEPARATOR}"), SEPARATOR)
+    text, candidates = F.col("text").cast("string"), "|".join(PATTERNS.values())
     told = F.transform(
-        F.filter(marked, lambda _, i: i % 2 == 1),
+        F.regexp_extract_all(text, F.lit(candidates), F.lit(0)),
         lambda v: _let(kind_of(v), lambda k: F.struct(k.alias("kind"), v.alias("value"), F.when(k.isNotNull(), pseudonym(v, k, key)).otherwise(v).alias("pseudonym"))),
     )
-    parts = docs.withColumn("pseudonyms_parts", F.when(F.col("text").rlike("@|[0-9]"), marked)).withColumn("pseudonyms_told", F.when(F.size("pseudonyms_parts") > 1, told))
-    joined = F.array_join(F.transform(F.col("pseudonyms_parts"), lambda p, i: F.when(i % 2 == 1, F.get(F.col("pseudonyms_told"), F.floor(i / 2).cast("int"))["pseudonym"]).otherwise(p)), "")
+    # the parts between the candidates are the text split at them
+    filled = lambda values: F.array_join(F.transform(F.split(text, candidates), lambda p, i: F.concat(p, F.coalesce(F.get(values, i)["pseudonym"], F.lit("")))), "")
+    made = _let(told, lambda values: F.struct(F.filter(values, lambda t: t["kind"].isNotNull()).alias("found"), filled(values).alias("text")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != FOUND)).alias("row"), F.when(text.rlike("@|[0-9]"), made).alias("made"))
     empty = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
-    found = F.coalesce(F.filter("pseudonyms_told", lambda t: t["kind"].isNotNull()), empty)
-    return parts.withColumn(FOUND, found).withColumn("text", F.when(F.size(FOUND) > 0, joined).otherwise(F.col("text"))).drop("pseudonyms_parts", "pseudonyms_told")
+    new = F.when(F.size("made.found") > 0, F.col("made.text")).otherwise(F.col("row")["text"].cast("string"))
+    kept = [new.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != FOUND]
+    return rows.select(*kept, F.coalesce("made.found", empty).alias(FOUND))
