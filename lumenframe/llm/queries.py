@@ -42,7 +42,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), pseudonyms.DEMO_KEY)
+    key = spark.conf.get("spark.lumenframe.pseudonym.key", pseudonyms.DEMO_KEY)
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key)
     kinds = F.transform(pseudonyms.FOUND, lambda t: t["kind"])
     count = lambda kind: F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", "text", *map(count, pseudonyms.KINDS), F.transform(pseudonyms.FOUND, lambda t: t["pseudonym"]).alias("pseudonyms"))

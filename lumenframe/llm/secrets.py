@@ -1,9 +1,12 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of a text is a blob named by the SHA-256 of its content. A scan
-takes only the blobs that the ledger doesn't hold for a rule version, whichever
-documents they are in and however often they recur, and findings are joined back
-to all documents (paths) by the blob's name. Column functions only.
+Every version of a text is a blob named by the SHA-256 of its content. The ledger holds,
+for each blob, the rules ("kind:version") that have seen it and the spans they found: a
+row stands for one scan of a blob, its pairs of blob and rule version are those with
+each of its rules. A scan runs only the rules that a blob hasn't met in their present
+version, whichever documents or versions of documents (paths) the blob is in and
+however often it recurs, and findings are joined back to all paths by the blob's name.
+Column functions only.
 
 Positions come from marking: a rule's matches are wrapped in two control
 characters, the text is split at them, and running lengths of the parts are the
@@ -11,8 +14,10 @@ code-point offsets. The control characters are first replaced by a third one in
 the text, which no rule matches, so lengths and matches stay as they were.
 
 Defined cases: null text is the empty blob; repeated rows and copies share one
-scan; an empty table gives no rows; spans of different kinds may overlap; other
-input columns are ignored (scan) or kept (redact).
+scan; an empty table gives no rows; spans of different kinds may overlap; spans of
+rule versions that aren't in use any more stay in the ledger and are told no more; of
+a very long text the spans are one array; other input columns are ignored (scan) or
+kept, whatever their names (redact).
 """
 
 from __future__ import annotations
@@ -32,7 +37,6 @@ RULES: list[tuple[str, int, str, int]] = [
     ("jwt", 1, r"()(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1),
 ]
 BASE = ["assign", "access", "hex"]
-RULE_VERSIONS = ",".join(f"{k}{v}" for k, v, _, _ in RULES)
 SPAN = "struct<start:long,kind_no:int,kind:string,stop:long>"
 
 
@@ -60,33 +64,59 @@ def spans_of(text: Column, number: int) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def find_spans(text: Column) -> Column:
-    """All spans of a text, by start, then rule order."""
+def rule_names(rules: list[tuple] | None = None) -> list[str]:
+    return [f"{kind}:{version}" for kind, version, _, _ in rules or RULES]
+
+
+def find_spans(text: Column, wanted: Column | None = None) -> Column:
+    """All spans of a text, by start, then rule order; of the wanted rules only, where these are given."""
     plain = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, OTHER * 2)
-    return F.array_sort(F.concat(*(spans_of(plain, n) for n in range(len(RULES)))))
+    none = F.array().cast(f"array<{SPAN}>")
+    one = lambda n, name: spans_of(plain, n) if wanted is None else F.when(F.array_contains(wanted, name), spans_of(plain, n)).otherwise(none)
+    return F.array_sort(F.concat(*(one(n, name) for n, name in enumerate(rule_names()))))
 
 
 def blob_name(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_versions: str = RULE_VERSIONS) -> DataFrame:
-    """The ledger after this scan: blob, rules, spans. Only pairs of blob and rule version that it lacked are scanned.
+def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Ledger rows to add: blob, rules (those that scanned it now), spans. Only pairs of blob and rule version that the ledger lacks are scanned.
 
-    Blobs are told apart by name before any text moves twice: copies are folded on the map side.
+    Copies are folded on the map side, and blobs that all rules have seen leave before their text is looked at.
     """
-    blobs = docs.select(blob_name(F.col("text")).alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rules") == rule_versions).select("blob"), "blob", "left_anti")
-    fresh = blobs.dropDuplicates(["blob"]).select("blob", F.lit(rule_versions).alias("rules"), find_spans(F.col("text")).alias("spans"))
-    return fresh if ledger is None else ledger.select("blob", "rules", "spans").union(fresh)
+    text = F.col("text").cast("string")
+    blobs = docs.select(blob_name(text).alias("blob"), F.coalesce(text, F.lit("")).alias("text")).dropDuplicates(["blob"])
+    every = F.array(*map(F.lit, rule_names()))
+    if ledger is None:
+        return blobs.select("blob", every.alias("rules"), find_spans(F.col("text")).alias("spans"))
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
+    unseen = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
+    return unseen.where(F.size("rules") > 0).select("blob", "rules", find_spans(F.col("text"), F.col("rules")).alias("spans"))
+
+
+def update_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger table at path (Parquet, made if it isn't there) after a scan of docs; what the scan finds is appended."""
+    spark = docs.sparkSession
+    schema = f"blob string, rules array<string>, spans array<{SPAN}>"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    scan(docs, spark.read.schema(schema).parquet(path) if there else None).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _told(ledger: DataFrame) -> DataFrame:
+    """blob, spans of the rules in use. Blobs without findings aren't sent along: absence means none."""
+    now = F.create_map(*(F.lit(x) for name in rule_names() for x in (name.split(":")[0], name)))
+    spans = F.filter("spans", lambda s: F.array_contains("rules", F.try_element_at(now, s["kind"])))
+    rows = ledger.where(F.size("spans") > 0).select("blob", spans.alias("spans")).where(F.size("spans") > 0)
+    return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rule_versions: str = RULE_VERSIONS) -> DataFrame:
-    """doc_id, blob, spans of every document. Blobs without findings aren't sent along: absence means none."""
-    told = ledger.where((F.col("rules") == rule_versions) & (F.size("spans") > 0)).select("blob", "spans")
-    paths = docs.select("doc_id", blob_name(F.col("text")).alias("blob"))
-    return paths.join(told, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+def findings(docs: DataFrame, ledger: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys (what tells a path or a version of one), blob, spans of every row of docs."""
+    paths = docs.select(*keys, blob_name(F.col("text").cast("string")).alias("blob"))
+    return paths.join(_told(ledger), "blob", "left").select(*keys, "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -94,26 +124,27 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret span replaced by its kind in brackets (overlapping spans by the first's); other columns as they were.
+def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """docs with each secret span that the ledger tells replaced by its kind in brackets (overlapping spans by the first's); other columns as they were.
 
-    One pass over the rows without a shuffle: redaction needs the text at hand anyway.
+    Without a ledger docs are scanned into a new one first.
     """
+    ledger = scan(docs) if ledger is None else ledger
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), blob_name(F.col("text").cast("string")).alias("blob"))
+    joined = whole.join(_told(ledger), "blob", "left")
+    text = F.col("row")["text"].cast("string")
 
     def step(acc: Column, s: Column) -> Column:
         skip = s["start"] < acc["at"]
         return F.struct(
             F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
+            F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
         )
 
-    spans = find_spans(F.col("text"))
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.lit(2147483647))))
-    hit = F.lit(False)
-    for _, _, pattern, _ in RULES:
-        hit = hit | F.col("text").rlike(pattern)
-    return docs.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.lit(2147483647))))
+    told = F.when(F.col("spans").isNotNull(), clean).otherwise(text)
+    return joined.select(*(told.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def oracle_sql() -> str:

@@ -123,13 +123,13 @@ def test_embeddings_match_brute_force(spark):
 
 def test_secrets_match_sql_and_ledger_is_incremental(spark, odd, none):
     assert differences(queries.op4_secrets(spark, SF), secrets.oracle_sql(), SF) == []
-    first = secrets.scan(odd.where("doc_id < 8")).cache()
-    second = secrets.scan(odd, first)
-    assert second.count() == odd.select(secrets.blob_name(F.col("text"))).distinct().count()
-    told = {r["doc_id"]: r["s"] for r in secrets.findings(odd, second).select("doc_id", secrets.span_text(F.col("spans")).alias("s")).collect()}
+    ledger = secrets.scan(odd)
+    told = {r["doc_id"]: r["s"] for r in secrets.findings(odd, ledger).select("doc_id", secrets.span_text(F.col("spans")).alias("s")).collect()}
     assert told[9] == "assign:0:20,access:21:42" and told[0] == ""
     assert secrets.findings(none, secrets.scan(none)).count() == 0
-    texts = {r["doc_id"]: r["text"] for r in secrets.redact(odd).collect()}
+    redacted = secrets.redact(odd, ledger)
+    texts = {r["doc_id"]: r["text"] for r in redacted.collect()}
+    assert redacted.columns == odd.columns and redacted.count() == 12
     assert texts[9] == "[ASSIGN] [ACCESS]" and texts[0] is None and texts[7] == "same text here now"
 
 
