@@ -11,7 +11,9 @@ count per vector and a local spanning forest, never its pairs. Equal vectors are
 one class with a multiplicity.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
-components, or of a length other than the pair's, link with nothing; repeated rows
+components, or of a length other than the pair's, link with nothing; components of any finite size
+and vectors of any length are met by scaling with the largest component first and by
+bounds and bands that grow and shrink with the length; repeated rows
 of one vec_id are separate members of their class; an empty table gives no rows;
 other columns are ignored.
 """
@@ -27,29 +29,42 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.durable import cut
 from ..operators.graph import connected_components
+from .batches import join_groups
 from .simhash import merge_labels
 
 THRESHOLD = 0.95
 BAND_ROWS = 16384
+#: Bytes of the double-precision vectors of a band; longer vectors make bands of fewer rows.
+BAND_BYTES = 16 << 20
 TILE = 1024
-#: Slack for the double-precision roundings of the bound itself.
-SLACK = 1e-9
+#: Components whose products of codes float32 still sums without rounding: 127 * 127 * 1024 < 2 ** 24.
+EXACT = 1024
+#: Slack for the double-precision roundings of the bound itself, and what each component adds to it.
+SLACK, SLACK_EACH = 1e-9, 2.0**-50
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit rows, int8 codes (as float32, whose products are exact here), scales, and bounds on each row's lost part."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Unit rows, int8 codes (as float32), scales, and bounds on each row's lost part."""
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     scale = np.abs(unit).max(axis=1) / 127
     code = np.rint(unit / scale[:, None]).astype(np.int8)
-    lost = np.linalg.norm(unit - code * scale[:, None], axis=1) + SLACK
+    lost = np.linalg.norm(unit - code * scale[:, None], axis=1) + SLACK + SLACK_EACH * x.shape[1]
     return unit, code.astype(np.float32), scale, lost
 
 
+def code_products(qa: np.ndarray, qb: np.ndarray) -> np.ndarray:
+    """Products of code rows without rounding: float32 within EXACT components, their sums in double precision."""
+    if qa.shape[1] <= EXACT:
+        return qa @ qb.T
+    return sum((qa[:, at : at + EXACT] @ qb[:, at : at + EXACT].T).astype(np.float64) for at in range(0, qa.shape[1], EXACT))
+
+
 def tile_links(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the pairs of two quantised tiles whose cosine reaches the threshold."""
     (ua, qa, sa, ea), (ub, qb, sb, eb) = a, b
-    product = (qa @ qb.T) * (sa[:, None] * sb[None, :]).astype(np.float32)
-    # |x| <= 1 + lost part of x on either side; float32 scaling of products below 1.1 errs by less than 1e-6
+    product = code_products(qa, qb) * (sa[:, None] * sb[None, :]).astype(np.float32)
+    # |x| <= 1 + lost part of x on either side; two float32 roundings of a product below 1.1 err by less than 1e-6, those of the bound too
     error = (ea[:, None] * (1 + eb[None, :]) + (1 + ea[:, None]) * eb[None, :] + 2e-6).astype(np.float32)
     i, j = np.nonzero(product + error >= threshold)
     doubtful = product[i, j] - error[i, j] < threshold
@@ -97,7 +112,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, band_rows:
         rows.where(usable).groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
         .withColumn("cid", F.monotonically_increasing_id()).withColumn("size", F.size("v"))
     )
-    bands = max(1, math.ceil(classes.count() / band_rows))
+    n, length = classes.agg(F.count("*"), F.max("size")).first()
+    band_rows = max(1, min(band_rows, BAND_BYTES // (8 * (length or 1))))
+    bands = max(1, math.ceil(n / band_rows))
     bands = max(bands, min(6, 2 * bands + 2))
     blocks = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
@@ -112,10 +129,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, band_rows:
     labels = connected_components(found, "cid", "root").withColumnRenamed("id", "cid")
     named = cut(
         classes.join(counts, "cid", "left").join(labels, "cid", "left")
-        .select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+        .select("v", "n", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
     )
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = named.join(roots, "component").select("v", "n_links", "component_id")
-    out = rows.where(usable).join(known, "v").select("vec_id", "n_links", "component_id")
+    roots = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c")))
+    known = cut(join_groups(named, roots, ["component"], n).select("v", F.col("n").alias("c"), "n_links", "component_id"))
+    out = join_groups(rows.where(usable), known, ["v"], rows.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
