@@ -34,10 +34,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.durable import cut, keep
+from .batches import join_groups
 
 MIN_WORDS = 50
-#: Groups that hold more than this part of all places are broadcast: there are HOT at most.
-HOT = 512
 WHITE = r"[\x20\x09-\x0D]"
 #: What stands between two lines: a line break or the space behind a sentence, with the white space after it.
 BREAK = rf"[\n\x20](?<=\n|[^.!?][.!?]\x20){WHITE}*"
@@ -72,15 +71,6 @@ def _ranked(groups: DataFrame, *order: str) -> DataFrame:
     return cut(groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows with the columns of their group (keys, c rows, more); groups of over total / HOT rows, HOT at most, by broadcast."""
-    large = groups.where(F.col("c") * HOT > total)
-    if large.isEmpty():
-        return rows.join(groups.drop("c"), keys)
-    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.where(F.col("c") * HOT <= total).drop("c"), keys)
-    return rows.join(F.broadcast(large.drop("c")), keys).unionByName(rest)
-
-
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, h, i, rank, fore, back, deep of the places whose line occurs at least twice, in rows of such neighbours with min_words words; no other can be in a run.
 
@@ -88,7 +78,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lines = keep(lines_of(docs))
     ranked = _ranked(lines.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1"), "x", "y")
-    again = _join_groups(lines, ranked, ["x", "y"], lines.count()).select("d", "h", "i", "words", "rank")
+    again = join_groups(lines, ranked, ["x", "y"], lines.count()).select("d", "h", "i", "words", "rank")
     once = again.repartition("d", "h").dropDuplicates(["d", "h", "i"])
     return cut(_stretched(once, min_words))
 
@@ -124,7 +114,7 @@ def depths(places: DataFrame) -> DataFrame:
             return found
         pairs = cut(deeper.select("d", "h", "i", "deep", F.col("rank").alias("r1"), F.first("rank").over(here).alias("r2")).where("r2 is not null"))
         classes = _ranked(pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1"), "r1", "r2")
-        ranks = cut(_join_groups(pairs, classes, ["r1", "r2"], pairs.count()).select("d", "h", "i", "rank", "deep"))
+        ranks = cut(join_groups(pairs, classes, ["r1", "r2"], pairs.count()).select("d", "h", "i", "rank", "deep"))
         k += 1
 
 
@@ -139,7 +129,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = wanted.join(ranks.withColumnRenamed("rank", "r1"), ["k", "d", "h", "i"])
     told = cut(first.join(ranks.select("k", "d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["k", "d", "h", "j"]).select("d", "h", "i", "n", "r1", "r2"))
     groups = told.groupBy("n", "r1", "r2").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "i")).alias("first")).where("c > 1")
-    later = _join_groups(told, cut(groups), ["n", "r1", "r2"], told.count()).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
+    later = join_groups(told, cut(groups), ["n", "r1", "r2"], told.count()).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
     return later.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1))))).alias("cut_lines"))
 
 

@@ -1,16 +1,17 @@
 """SimHash near-duplicates linked through BK-trees.
 
 A fingerprint bit is set where over half of the text's 4-word shingle hashes have
-it. Two fingerprints within `radius` bits agree in whole blocks of the word: cut
-into radius + 2 blocks, at least two blocks are untouched. Every distinct
-fingerprint is sent to one shard per pair of blocks, each shard's BK-tree (children
-keyed by integer Hamming distance to the parent) is searched along the edges within
-the radius only, and a shard returns at most one link per member, a local spanning
-forest, so a group of any size never becomes its square of pairs. Shards beyond
-`shard_rows` are cut once more by the same rule on their remaining bits.
-
-The trees are not broadcast: their size grows with the corpus, so they stay where
-the shuffle put their shard.
+it. Two fingerprints within `radius` bits agree in one of radius + 1 blocks of the word.
+Every distinct fingerprint is sent to one shard per block, told by as many of the block's
+bits as make shards of about `shard_words` (few words: no bits, one shard). Each
+shard's BK-tree (children keyed by integer Hamming distance to the parent) is searched
+along the edges within the radius only, and a shard returns at most one link per
+member, a local spanning forest, so a group of any size never becomes its square of
+pairs. Shards beyond `split_words` are cut again by the same rule on the bits that
+haven't told them yet, as long as blocks of them are left.
+
+The trees are not broadcast: that would take the fingerprints of all documents through
+the driver. They stay where the shuffle put their shard.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero
 and link like any other; fewer words than a shingle give one shingle of them all;
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.durable import cut
 from ..operators.graph import connected_components
-from .batches import map_batches, texts_of
+from .batches import join_groups, map_batches, texts_of
 
 SHINGLE_WORDS = 4
 RADIUS = 4
-SHARD_ROWS = 4096
-LEAF = 48
+#: Words of a shard, about, and words from which on it is cut again.
+SHARD_WORDS = 512
+SPLIT_WORDS = 8192
+LEAF = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -82,7 +84,7 @@ class BKTree:
     """A BK-tree over an array of distinct words; leaves hold up to LEAF words."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
+        self.words, self.compared = words, 0
         self.root = self._build(np.arange(len(words)))
 
     def _build(self, members: np.ndarray):
@@ -102,9 +104,11 @@ class BKTree:
             if children is None:
                 for at in range(0, len(asked), max(1, (1 << 20) // max(1, len(node)))):
                     part = asked[at : at + max(1, (1 << 20) // max(1, len(node)))]
+                    self.compared += len(part) * len(node)
                     q, m = np.nonzero(np.bitwise_count(queries[part][:, None] ^ self.words[node][None, :]) <= radius)
                     yield part[q], node[m]
                 continue
+            self.compared += len(asked)
             distance = np.bitwise_count(queries[asked] ^ self.words[node]).astype(np.int16)
             near = distance <= radius
             yield asked[near], np.full(int(near.sum()), node)
@@ -189,25 +193,46 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _shards(rows: DataFrame, keys: list[str], blocks: list[tuple[F.Column | None, list[list[int]]]], bits: int, n: int) -> DataFrame:
+    """rows with their shards' number s{n} and key k{n}; blocks: by a condition on the shards so far, the bits to tell them by."""
+    made = None
+    for when, parts in blocks:
+        told = F.array(*(F.struct(F.lit(m).alias("s"), _key("fp", [part[:bits]]).alias("k")) for m, part in enumerate(parts[: len(parts) if bits else 1])))
+        made = told if when is None else F.when(when, told) if made is None else made.when(when, told)
+    return rows.select(*keys, F.explode(made).alias("x"), "fp").select(*keys, F.col("x.s").alias(f"s{n}"), F.col("x.k").alias(f"k{n}"), "fp")
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, shard_words: int = SHARD_WORDS, split_words: int = SPLIT_WORDS) -> DataFrame:
     """Links (a, b) that span each component of distinct fingerprints (column fp) at most radius bits apart.
 
-    Two of radius + 2 blocks hold no differing bit, so each linked pair meets in a shard.
+    One of radius + 1 blocks holds no differing bit, so each linked pair meets in a shard.
     """
-    blocks = _blocks(list(range(64)), radius + 2)
-    pairs = list(combinations(range(radius + 2), 2))
-    shards = F.explode(F.array(*(F.struct(F.lit(n).alias("s"), _key("fp", [blocks[p], blocks[q]]).alias("k")) for n, (p, q) in enumerate(pairs))))
-    rows = fps.select(shards.alias("x"), "fp").select("x.s", "x.k", "fp")
-    sizes = rows.groupBy("s", "k").count().where("count > 1")
-    shared = cut(rows.join(sizes, ["s", "k"]).withColumn("hot", F.col("count") > shard_rows).drop("count"))
-    links = _links(shared.where("not hot").drop("hot"), radius)
-    finer = None
-    for n, (p, q) in enumerate(pairs):
-        rest = _blocks([b for k, block in enumerate(blocks) if k not in (p, q) for b in block], radius + 2)
-        part = F.when(F.col("s") == n, F.array(*(F.struct(F.lit(m).alias("s2"), _key("fp", [rest[c], rest[d]]).alias("k2")) for m, (c, d) in enumerate(pairs))))
-        finer = part if finer is None else F.coalesce(finer, part)
-    hot = shared.where("hot").select("s", "k", F.explode(finer).alias("y"), "fp").select("s", "k", "y.s2", "y.k2", "fp")
-    return links.union(_links(hot, radius))
+    links, keys, rows = None, [], fps.select("fp")
+    paths: dict[tuple[int, ...], list[int]] = {(): list(range(64))}
+    bits = max(0, (fps.count() // shard_words).bit_length())
+    for depth in range(4):
+        blocks = {path: _blocks(left, radius + 1) for path, left in paths.items()}
+        width = min(bits, *(len(part) for parts in blocks.values() for part in parts))
+        whens = [(_all(path) if path else None, parts) for path, parts in blocks.items()]
+        rows = _shards(rows, keys, whens, width, depth)
+        keys = [*keys, f"s{depth}", f"k{depth}"]
+        sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1"))
+        last = depth == 3 or not width
+        rows = cut(join_groups(rows, sizes.withColumn("hot", F.lit(False) if last else F.col("c") > split_words), keys, rows.count()))
+        found = _links(rows.where("not hot").drop("hot"), radius)
+        links = found if links is None else links.union(found)
+        rows = rows.where("hot").drop("hot")
+        if last or rows.isEmpty():
+            return links
+        paths = {(*path, m): [b for b in left if b not in blocks[path][m][:width]] for path, left in paths.items() for m in range(radius + 1)}
+        bits = max(bits, 8)
+
+
+def _all(path: tuple[int, ...]) -> F.Column:
+    met = F.lit(True)
+    for n, m in enumerate(path):
+        met = met & (F.col(f"s{n}") == m)
+    return met
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -217,8 +242,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     labels = connected_components(near_links(distinct.select("fp"), radius), "a", "b")
     named = distinct.join(labels.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = cut(named)
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(roots, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    roots = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c")))
+    told = join_groups(named, roots, ["component"], named.count()).select("fp", "component_id")
+    per_word = told.join(rows.groupBy("fp").agg(F.count("*").alias("c")), "fp")
+    return join_groups(rows, cut(per_word), ["fp"], rows.count()).select("doc_id", "fp", "component_id")
 
 
 def text_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

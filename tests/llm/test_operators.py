@@ -100,8 +100,29 @@ def test_simhash_splits_large_shards(spark):
     words = sorted({base ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(9))) for _ in range(300)} | {draw.getrandbits(64) for _ in range(100)})
     signed = [w - (1 << 64) if w >> 63 else w for w in words]
     want = least([(x, y) for n, x in enumerate(signed) for y in signed[n + 1 :] if ((x ^ y) & ((1 << 64) - 1)).bit_count() <= 4], signed)
-    links = simhash.near_links(spark.createDataFrame([(w,) for w in signed], "fp long"), shard_rows=8).collect()
-    assert least([(r["a"], r["b"]) for r in links], signed) == want
+    frame = spark.createDataFrame([(w,) for w in signed], "fp long")
+    for shard_words, split_words in ((512, 8192), (64, 60), (16, 8)):
+        links = simhash.near_links(frame, shard_words=shard_words, split_words=split_words).collect()
+        assert least([(r["a"], r["b"]) for r in links], signed) == want
+
+
+def test_bk_trees_follow_only_near_edges(spark, monkeypatch):
+    """At sf0.01 the one shard is searched by a tree, which compares fewer words than all with all."""
+    rows = simhash.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).select("fp").distinct().collect()
+    words = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+    trees, built = [], simhash.BKTree
+
+    def kept(words):
+        trees.append(built(words))
+        return trees[-1]
+
+    monkeypatch.setattr(simhash, "BKTree", kept)
+    a, b = simhash.shard_links(words, 4)
+    i, j = np.nonzero(np.bitwise_count(words[:, None] ^ words[None, :]) <= 4)
+    links = [(int(words[x]), int(words[y])) for x, y in zip(i, j) if x < y]
+    ids = sorted(map(int, words))
+    assert least(links, ids) == least([(int(x), int(y)) for x, y in zip(a, b)], ids) and links
+    assert len(trees) == 1 and 0 < trees[0].compared < 0.9 * len(words) ** 2
 
 
 def test_embeddings_match_brute_force(spark):
