@@ -1,18 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, reported speech, quote,
-clause end, other). Five small transducers read the symbols of a clause side by
-side - their composition is one machine whose state is the tuple of theirs - and
-every insult or threat is given out as a matched pattern: plain or aimed at a
-target, asserted, negated or reported. A document's score is a logistic function of
-how many matches of each pattern its clauses hold, not of isolated words.
+Words become symbols (insult, threat, target, negation, reported speech, quote, clause
+end, other) and five transducers are composed: negation rewrites the insults and
+threats in its reach, reported speech those behind a verb of saying or in quotation
+marks it opened, and insult, threat and target read what comes out. A clause matches
+where the insult or the threat machine ends in an accepting state: it holds a head in
+a frame of other words, so that a word by itself matches nothing. Its pattern is what
+the machines say together: plain or aimed at a target, negated or reported; of several
+heads the plainest counts. Every pattern has a weight, and a document's score is a
+logistic function of the weighted numbers of its matched clauses.
 
 The insult lexicon is a short list of seeds plus words learned from labelled texts:
 words met in at least `min_docs` toxic texts and `min_contexts` different left
 neighbours there (copies of one text don't make an insult of its words), and
-`min_odds` times likelier in toxic than in clean texts. Pattern weights are fitted
-by ridge regression towards priors. Fitting uses a sample of about `fit_rows`
-labelled rows, chosen by a hash of the id; scoring reads every whole text.
+`min_odds` times likelier in toxic than in clean texts; it is part of the model that
+goes to the tasks and holds the LEXICON_WORDS strongest at most. Pattern weights are
+fitted by ridge regression towards priors. Fitting uses a sample of about `fit_rows`
+labelled rows, chosen by a hash of the id; fitting and scoring read every text whole,
+however long it is: its tokens are in memory at once, its clauses one after the other.
 
 Defined cases: null text counts as empty and scores the base rate; rows without a
 label or text don't train; repeated rows score alike; no labels leave seeds and
@@ -46,80 +51,106 @@ sagte sagt schrieb dit disait écrit""".split()
 FIT_ROWS = 20_000
 LEXICON_WORDS = 5_000
 PATTERNS = ["insult", "aimed_insult", "negated_insult", "reported_insult", "threat", "aimed_threat", "negated_threat", "reported_threat"]
-#: Log-odds each first match of a pattern adds before labels speak; a threat without a target is often harmless.
+#: Weights of the patterns: log-odds that each first match of a pattern adds before labels speak; a threat without a target is often harmless.
 PRIOR = np.array([6.0, 8.0, 1.5, 1.5, 0.0, 4.0, 0.0, 0.5])
 BIAS = -4.0
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]|[\"“”«»]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:]+|[\n\"“”«»]")
 
 
 class Transducer:
-    """A finite-state machine over symbols: next state by (state, symbol), else by (state, '*')."""
+    """A finite-state transducer over symbols: moves tell (next state, symbol given out) by (state, symbol); other symbols pass as they are, the state stays."""
 
-    def __init__(self, start: int, moves: dict[tuple[int, str], int]):
-        self.start, self.moves = start, moves
+    def __init__(self, start, moves: dict[tuple, tuple], accepts: dict | None = None):
+        self.start, self.moves, self.accepts = start, moves, accepts or {}
 
-    def step(self, state: int, symbol: str) -> int:
-        moves = self.moves
-        return moves.get((state, symbol), moves.get((state, "*"), state))
+    def step(self, state, symbol: str) -> tuple:
+        return self.moves.get((state, symbol), (state, symbol))
 
 
-# Symbols: I insult, T threat, Y target, N negation, R reported speech, Q quote, E clause end, o other.
-#: 0 none; 3..1 words left in a negation's reach.
-NEGATION = Transducer(0, {(0, "N"): 3, (3, "*"): 2, (2, "*"): 1, (1, "*"): 0, (3, "N"): 3, (2, "N"): 3, (1, "N"): 3, (3, "E"): 0, (2, "E"): 0, (1, "E"): 0})
-#: 1 after a verb of saying, until the clause ends.
-REPORT = Transducer(0, {(0, "R"): 1, (1, "E"): 0})
-#: 1 after a target in the clause.
-TARGET = Transducer(0, {(0, "Y"): 1, (1, "E"): 0})
-#: 1 inside quotation marks that a verb of saying opened in the clause.
-QUOTE = Transducer(0, {(0, "R"): 2, (2, "Q"): 1, (2, "E"): 0, (1, "Q"): 0})
+# Symbols: I insult, T threat, Y target, N negation, R reported speech, Q quote, E clause end, o other;
+# given out by negation: i, t; by reported speech: r, s.
+#: The state is the number of words left in a negation's reach.
+NEGATION = Transducer(
+    0,
+    {(n, x): (max(0, n - 1), {"I": "i", "T": "t"}.get(x, x) if n else x) for n in range(4) for x in "ITYRo"}
+    | {(n, "N"): (3, "o") for n in range(4)} | {(n, "E"): (0, "E") for n in range(4)},
+)
+#: 1 behind a verb of saying until the clause ends, 2 inside the quotation marks it opened.
+REPORT = Transducer(
+    0,
+    {(n, x): (n, "r" if x in "Ii" else "s") for n in (1, 2) for x in "IiTt"}
+    | {(n, "R"): (max(n, 1), "o") for n in range(3)} | {(1, "E"): (0, "E"), (1, "Q"): (2, "Q"), (2, "Q"): (0, "Q")},
+)
+#: 1 when the clause holds a target.
+TARGET = Transducer(0, {(0, "Y"): (1, "Y")}, {1: "aimed"})
+
+
+def _heads(plain: str, negated: str, reported: str) -> Transducer:
+    """States: the plainest head so far (0 none, 1 reported, 2 negated, 3 plain) and whether another word frames it."""
+    rank = {reported: 1, negated: 2, plain: 3}
+    states = [(n, framed) for n in range(4) for framed in (0, 1)]
+    moves = {((n, f), x): ((max(n, k), f), x) for n, f in states for x, k in rank.items()}
+    moves |= {((n, f), x): ((n, 1), x) for n, f in states for x in "oY"}
+    return Transducer((0, 0), moves, {(1, 1): "reported", (2, 1): "negated", (3, 1): "plain"})
+
+
+INSULT = _heads("I", "i", "r")
+THREAT = _heads("T", "t", "s")
 
 
 class Grammar:
-    """The composed machine: symbols of a text in, pattern counts out."""
+    """The composed machine: symbols of a text in, numbers of matched clauses by pattern out."""
 
-    PARTS = (NEGATION, REPORT, TARGET, QUOTE)
+    PARTS = (NEGATION, REPORT, TARGET, INSULT, THREAT)
 
     def __init__(self, insults: set[str]):
         self.symbols = {w: "R" for w in REPORTS} | {w: "Y" for w in TARGETS} | {w: "N" for w in NEGATIONS}
         self.symbols |= {w: "T" for w in THREATS} | {w: "I" for w in insults}
+        # several marks in a row stress a word; they end no clause
         self.symbols |= {c: "E" for c in ".!?;:\n"} | {c: "Q" for c in "\"“”«»"}
         self.heads = {w for w, s in self.symbols.items() if s in "IT"}
         self.composed: dict[tuple, tuple] = {}
 
     def _step(self, state: tuple, symbol: str) -> tuple:
+        """The composed machine's next state: a symbol passes negation, then reported speech, and the other three read what is left of it."""
         if (found := self.composed.get((state, symbol))) is None:
-            found = self.composed[state, symbol] = tuple(p.step(s, symbol) for p, s in zip(self.PARTS, state))
+            negation, symbol_ = NEGATION.step(state[0], symbol)
+            report, symbol_ = REPORT.step(state[1], symbol_)
+            found = self.composed[state, symbol] = (negation, report, *(m.step(s, symbol_)[0] for m, s in zip(self.PARTS[2:], state[2:])))
         return found
 
+    def accepted(self, state: tuple) -> list[str]:
+        """Patterns of a clause that ends in this state."""
+        aimed = TARGET.accepts.get(state[2])
+        out = []
+        for kind, machine, s in (("insult", INSULT, state[3]), ("threat", THREAT, state[4])):
+            if how := machine.accepts.get(s):
+                how = aimed or how if how == "plain" else how
+                out.append(kind if how == "plain" else f"{how}_{kind}")
+        return out
+
     def counts(self, text: str) -> np.ndarray:
-        """Matches of each of PATTERNS. A target after the insult, in the same clause, aims it too."""
+        """Matched clauses of each of PATTERNS."""
         out = np.zeros(len(PATTERNS))
         tokens = _TOKEN.findall(text.lower())
         if self.heads.isdisjoint(tokens):
             return out
-        start = state = tuple(p.start for p in self.PARTS)
-        waiting: list[tuple[int, tuple]] = []
-        symbols = self.symbols
-
-        def give(aimed: bool) -> None:
-            for base, (negated, reported, before, quoted) in waiting:
-                kind = 3 if reported or quoted == 1 else 2 if negated else 1 if aimed or before else 0
-                out[base + kind] += 1
-            waiting.clear()
-
+        symbols, start = self.symbols, tuple(m.start for m in self.PARTS)
+        state = start
         for token in tokens:
             symbol = symbols.get(token, "o")
-            if symbol == "o" and state == start:
+            if symbol == "o" and token[0] in ".!?;:":
+                continue
+            if symbol != "E":
+                state = self._step(state, symbol)
                 continue
-            if symbol in "IT":
-                waiting.append((0 if symbol == "I" else 4, state))
-            elif symbol == "Y" and waiting:
-                give(True)
-            elif symbol == "E":
-                give(False)
-            state = self._step(state, symbol)
-        give(False)
+            for pattern in self.accepted(state):
+                out[PATTERNS.index(pattern)] += 1
+            # what was reported in quotation marks goes on, the rest starts anew
+            state = (*self._step(state, "E")[:2], *start[2:])
+        for pattern in self.accepted(state):
+            out[PATTERNS.index(pattern)] += 1
         return out
 
 
@@ -146,7 +177,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 4, min_contexts: int = 4, m
             for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 tokens = _TOKEN.findall(text.lower())
                 first = dict(zip(reversed(tokens), [*reversed(tokens[:-1]), ""]))
-                keys = [w for w in first if 2 < len(w) < 40]
+                keys = [w for w in first if len(w) > 2]
                 word += keys
                 left += [hash_text(first[w]) for w in keys] if y else [0] * len(keys)
                 label += [y] * len(keys)
@@ -187,7 +218,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float)
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(1 + counts), 3.0)
+    return np.log2(1 + counts)
 
 
 def score_counts(counts: np.ndarray, weights: np.ndarray) -> float:

@@ -60,6 +60,7 @@ def test_toxicity_reads_clauses():
     name = lambda t: {p for p, c in zip(toxicity.PATTERNS, grammar.counts(t)) if c}
     assert name("You are an idiot.") == {"aimed_insult"}
     assert name("What an idiot. You stay.") == {"insult"}
+    assert name("idiot") == set() and name("Idiot! Idiot. idiot") == set()
     assert name("She is not an idiot.") == {"negated_insult"}
     assert name('He said "idiot" to them.') == {"reported_insult"}
     assert name("I will kill you.") == {"aimed_threat"}
