@@ -43,10 +43,9 @@ BREAK = rf"[\n\x20](?<=\n|[^.!?][.!?]\x20){WHITE}*"
 
 
 def _words(line: Column, odd: Column) -> Column:
-    """Words of a line: its runs of characters that aren't white. odd: whether its text holds white space other than single spaces and line breaks."""
-    plain = F.trim(line)
-    spaces = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
-    return F.when(odd, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))).when(plain == "", 0).otherwise(spaces + 1)
+    """Words of a trimmed line: its runs of characters that aren't white. odd: whether its text holds white space other than single spaces and line breaks."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(odd, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(spaces + 1)
 
 
 def _key(text: Column) -> list[Column]:
@@ -62,8 +61,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
         odd = odd | F.contains(text, F.lit(mark))
     # what a document has once is computed below the explode; outer: a split is never empty, and no filter on its size makes Spark cut the text twice
     once = docs.where(text.isNotNull()).select(*_key(text), odd.alias("odd"), F.split(text, BREAK).alias("lines"))
-    lines = once.select("d", "h", "odd", F.posexplode_outer("lines").alias("i", "line"))
-    return lines.select("d", "h", "i", _words(F.col("line"), F.col("odd")).alias("words"), F.xxhash64("line").alias("x"), F.hash("line").alias("y")).where("words > 0")
+    lines = once.select("d", "h", "odd", F.posexplode_outer("lines").alias("i", "line")).withColumn("line", F.trim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
+    return lines.select("d", "h", "i", _words(F.col("line"), F.col("odd")).alias("words"), F.xxhash64("line").alias("x"), F.hash("line").alias("y"))
 
 
 def _ranked(groups: DataFrame, *order: str) -> DataFrame:
@@ -72,9 +71,9 @@ def _ranked(groups: DataFrame, *order: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, h, i, rank, fore, back, deep of the places whose line occurs at least twice, in rows of such neighbours with min_words words; no other can be in a run.
+    """d, h, i, rank, fore, back, deep, flat of the places whose line occurs at least twice, in rows of such neighbours with min_words words; no other can be in a run.
 
-    fore and back: lines of the shortest stretch of min_words words that starts or ends here (0: none); deep: the most of them among the neighbours.
+    fore and back: lines of the shortest stretch of min_words words that starts or ends here (0: none); deep and flat: the most and the least of them among the neighbours.
     """
     lines = keep(lines_of(docs))
     ranked = _ranked(lines.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1"), "x", "y")
@@ -98,23 +97,25 @@ def _stretched(places: DataFrame, min_words: int) -> DataFrame:
     fore = F.when(F.col("stop.upto") - F.col("before") >= min_words, F.col("stop.i") - F.col("i") + 1).otherwise(0)
     back = F.when(F.col("upto") >= min_words, F.col("i") - F.coalesce(F.col("start") + 1, F.col("head")) + 1).otherwise(0)
     told = both.select("d", "h", "island", "i", "rank", fore.alias("fore"), back.alias("back"))
-    return told.withColumn("deep", F.max(F.greatest("fore", "back")).over(island)).drop("island")
+    least = F.least(*(F.when(F.col(n) > 0, F.col(n)) for n in ("fore", "back")))
+    return told.withColumns({"deep": F.max(F.greatest("fore", "back")).over(island), "flat": F.min(least).over(island)}).drop("island")
 
 
 def depths(places: DataFrame) -> DataFrame:
     """k, d, h, i, rank: blocks of 2^k lines that occur again, by the rank of their content."""
-    ranks, found, k = places.select("d", "h", "i", "rank", "deep"), None, 0
+    ranks, found, k = places.select("d", "h", "i", "rank", "deep", "flat"), None, 0
     while True:
-        told = ranks.select(F.lit(k).alias("k"), "d", "h", "i", "rank")
-        found = told if found is None else found.union(told)
         size = 1 << k
+        # only stretches of size to 2 * size - 1 lines are told by these ranks
+        told = ranks.where(F.col("flat") < 2 * size).select(F.lit(k).alias("k"), "d", "h", "i", "rank")
+        found = told if found is None else found.union(told)
         here = Window.partitionBy("d", "h").orderBy("i").rangeBetween(size, size)
         deeper = ranks.where(F.col("deep") >= 2 * size)
         if deeper.isEmpty():
             return found
-        pairs = cut(deeper.select("d", "h", "i", "deep", F.col("rank").alias("r1"), F.first("rank").over(here).alias("r2")).where("r2 is not null"))
+        pairs = cut(deeper.select("d", "h", "i", "deep", "flat", F.col("rank").alias("r1"), F.first("rank").over(here).alias("r2")).where("r2 is not null"))
         classes = _ranked(pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1"), "r1", "r2")
-        ranks = cut(join_groups(pairs, classes, ["r1", "r2"], pairs.count()).select("d", "h", "i", "rank", "deep"))
+        ranks = cut(join_groups(pairs, classes, ["r1", "r2"], pairs.count()).select("d", "h", "i", "rank", "deep", "flat"))
         k += 1
 
 

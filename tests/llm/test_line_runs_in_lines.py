@@ -48,7 +48,7 @@ def brute(docs, min_words):
             for j in range(i + 1, len(own) + 1):
                 words = [len(x.split()) for x in own[i:j]]
                 if sum(words) >= min_words and all(words) and (sum(words[1:]) < min_words or sum(words[:-1]) < min_words):
-                    places[tuple(own[i:j])].append((d, i, j))
+                    places[tuple(x.strip() for x in own[i:j])].append((d, i, j))
     gone = defaultdict(set)
     for found in places.values():
         for d, i, j in sorted(found)[1:]:
