@@ -74,35 +74,68 @@ def polygon_edges(polygons: DataFrame, polygon_id: str, rings: str) -> DataFrame
     return ring.select(polygon_id, F.explode(pairs).alias("e")).select(polygon_id, "e.*")
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, polygon_id: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """(point_id, polygon_id, depth_km) of each polygon that holds a point: box first, then even-odd parity over edges.
+def boxes(edges: DataFrame, polygon_id: str) -> DataFrame:
+    """polygon_id, w, e, s, n of each polygon."""
+    return edges.groupBy(polygon_id).agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
 
-    The edges of one polygon travel as one array, so a point meets each candidate polygon once.
-    """
-    shapes = edges.groupBy(polygon_id).agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"), F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"),
-        F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"),
-    )
-    near = points.select(point_id, lat, lng).join(small(shapes), F.col(lng).between(F.col("w"), F.col("e")) & F.col(lat).between(F.col("s"), F.col("n")))
-    inside = F.size(F.filter("edges", lambda g: geo.crosses(lat, lng, g["x1"], g["y1"], g["x2"], g["y2"]))) % 2 == 1
-    depth = F.array_min(F.transform("edges", lambda g: geo.segment_distance_km(lat, lng, g["x1"], g["y1"], g["x2"], g["y2"])))
-    return near.where(inside).select(point_id, polygon_id, depth.alias("depth_km"))
+
+def _band(row: Column, step: float) -> Column:
+    """Longitude width of the cells in a row of latitude; null next to a pole, where one cell is the whole row."""
+    top = F.greatest(F.abs(row * step), F.abs((row + 1) * step))
+    return F.when(top < 89, step / F.cos(F.radians(top)) * 1.000001)
+
+
+def near_boxes(points: DataFrame, shapes: DataFrame, lat: str, lng: str, radius_km: float) -> DataFrame:
+    """points with each box at most radius_km away, in the plane scaled at the point's latitude: joined by cell, a box standing in every cell it reaches."""
+    step = radius_km / KM_PER_DEGREE
+    column = lambda x, row: F.coalesce(F.floor(x / _band(row, step)), F.lit(0)).cast("long")
+    rows = shapes.withColumn("cell_row", F.explode(F.sequence(F.floor(F.col("s") / step).cast("long") - 1, F.floor(F.col("n") / step).cast("long") + 1)))
+    reach = F.coalesce(_band(F.col("cell_row"), step), F.lit(0.0))
+    spread = rows.withColumn("cell_col", F.explode(F.sequence(column(F.col("w") - reach, F.col("cell_row")), column(F.col("e") + reach, F.col("cell_row")))))
+    placed = points.withColumn("cell_row", F.floor(F.col(lat) / step).cast("long"))
+    placed = placed.withColumn("cell_col", column(F.col(lng), F.col("cell_row")))
+    dx = F.greatest(F.col("w") - F.col(lng), F.col(lng) - F.col("e"), F.lit(0.0)) * F.cos(F.radians(lat))
+    dy = F.greatest(F.col("s") - F.col(lat), F.col(lat) - F.col("n"), F.lit(0.0))
+    return placed.join(spread, ["cell_row", "cell_col"]).where(F.sqrt(dx * dx + dy * dy) * KM_PER_DEGREE <= radius_km * 1.000001).drop("cell_row", "cell_col", "w", "e", "s", "n")
+
+
+def _measured(near: DataFrame, edges: DataFrame, point_id: str, polygon_id: str, lat: str, lng: str) -> DataFrame:
+    """(point_id, polygon_id, crossings, km) of candidate pairs: the edges stand as rows, so both are plain aggregates."""
+    met = near.join(small(edges), polygon_id)
+    across = F.count_if(geo.crosses(lat, lng, "x1", "y1", "x2", "y2"))
+    return met.groupBy(point_id, polygon_id).agg(across.alias("crossings"), F.min(geo.segment_distance_km(lat, lng, "x1", "y1", "x2", "y2")).alias("km"))
+
+
+#: Cell side for points and the boxes they lie in, and the radii that are tried in turn for those outside: the last reaches everything.
+BOX_KM, RADII_KM = 100.0, (50.0, 200.0, 800.0, 3200.0, 12800.0, 51200.0)
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, polygon_id: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """(point_id, polygon_id, depth_km) of each polygon that holds a point: cell and box first, then even-odd parity over edges."""
+    at = points.select(point_id, lat, lng)
+    near = near_boxes(at, boxes(edges, polygon_id), lat, lng, BOX_KM).select(point_id, lat, lng, polygon_id)
+    return _measured(near, edges, point_id, polygon_id, lat, lng).where("crossings % 2 = 1").select(point_id, polygon_id, F.col("km").alias("depth_km"))
 
 
 def assign_polygon(points: DataFrame, edges: DataFrame, point_id: str, polygon_id: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """point_id, polygon_id, inside: the polygon that holds the point deepest (ties: lower id), else the nearest one."""
+    """point_id, polygon_id, inside: the polygon that holds the point deepest (ties: lower id), else the nearest one.
+
+    Points outside look for polygons within a radius that grows until one is found; a point without coordinates, or any point where there are no polygons, has none.
+    """
     held = points_in_polygons(points, edges, point_id, polygon_id, lat, lng)
-    deepest = held.groupBy(point_id).agg(F.min(F.struct(-F.col("depth_km"), F.col(polygon_id).alias("p"))).alias("b")).select(point_id, F.col("b.p").alias("_in"))
-    rest = points.select(point_id, lat, lng).join(deepest, point_id, "left_anti")
-    shapes = edges.groupBy(polygon_id).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    far = F.array_min(F.transform("edges", lambda g: geo.segment_distance_km(lat, lng, g["x1"], g["y1"], g["x2"], g["y2"])))
-    if shapes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("too many polygons to try them all for a point outside; prefilter by distance")
-    nearest = rest.crossJoin(F.broadcast(shapes)).groupBy(point_id).agg(F.min(F.struct(far, F.col(polygon_id).alias("p"))).alias("b")).select(point_id, F.col("b.p").alias("_near"))
-    return (
-        points.select(point_id).join(deepest, point_id, "left").join(nearest, point_id, "left")
-        .select(point_id, F.coalesce("_in", "_near").alias(polygon_id), F.col("_in").isNotNull().alias("inside"))
-    )
+    inside = F.lit(True).alias("inside")
+    told = cut(held.groupBy(point_id).agg(F.min(F.struct(-F.col("depth_km"), F.col(polygon_id).alias("p"))).alias("b")).select(point_id, F.col("b.p").alias(polygon_id), inside))
+    shapes = cut(boxes(edges, polygon_id))
+    rest = cut(points.select(point_id, lat, lng).join(told, point_id, "left_anti"))
+    for radius in RADII_KM:
+        if rest.isEmpty():
+            break
+        near = near_boxes(rest, shapes, lat, lng, radius).select(point_id, lat, lng, polygon_id)
+        best = _measured(near, edges, point_id, polygon_id, lat, lng).groupBy(point_id).agg(F.min(F.struct("km", F.col(polygon_id).alias("p"))).alias("b"))
+        found = cut(best.where(F.col("b.km") <= radius).select(point_id, F.col("b.p").alias(polygon_id), F.lit(False).alias("inside")))
+        told = told.union(found)
+        rest = cut(rest.join(found, point_id, "left_anti"))
+    return points.select(point_id).join(told, point_id, "left").select(point_id, polygon_id, F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
 def border_gate(inside_home: Column, home_km: Column, in_neighbour: Column, sea_km: float = 5.0, land_km: float = 1.5) -> Column:

@@ -46,10 +46,17 @@ def later_passes(spark, sf):
 
 
 def pass_windows(spark, sf):
-    """Detections within five minutes of a window of their kind, and the windows without any."""
+    """Detections within five minutes of a window of their kind, and the windows without any.
+
+    Kind and 20-minute bin are the join key, a window stands in every bin it reaches; the range is checked behind it.
+    """
+    bins = lambda at: F.floor(F.unix_seconds(at) / 1200)
+    reach = F.expr("interval 5 minutes")
     d = detections(spark, sf)
     w = d.where("event_id % 10 = 0").select("event_type", F.col("event_id").alias("window_id"), F.col("acquired_at").alias("a"), (F.col("acquired_at") + F.expr("interval 10 minutes")).alias("b"))
-    hit = d.where("event_id % 10 <> 0").join(w, "event_type").where("acquired_at between a - interval 5 minutes and b + interval 5 minutes")
+    spread = w.withColumn("bin", F.explode(F.sequence(bins(F.col("a") - reach), bins(F.col("b") + reach))))
+    seen = d.where("event_id % 10 <> 0").select("event_type", "acquired_at", bins(F.col("acquired_at")).alias("bin"))
+    hit = seen.join(spread, ["event_type", "bin"]).where(F.col("acquired_at").between(F.col("a") - reach, F.col("b") + reach))
     n = hit.groupBy("window_id").agg(F.count("*").alias("n"))
     return w.join(n, "window_id", "left").select("window_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("silent"))
 
@@ -125,10 +132,14 @@ def patched(spark, sf):
     return state.patch(s, ch, "s_suppkey")
 
 
+#: Rows from which on a source is enough.
+ENOUGH = 1500
+
+
 def source_ladder(spark, sf):
     d = detections(spark, sf)
-    n = d.where("event_id < 60").groupBy("event_type").agg(F.count("*").alias("n")).join(spark.createDataFrame([("signup", 1), ("error", 2), ("view", 3), ("click", 4), ("purchase", 5)], "event_type string, pos int"), "event_type")
-    return state.first_acceptable_source(n, "event_type", "n", "pos", 12)
+    n = d.groupBy("event_type").agg(F.count("*").alias("n")).join(spark.createDataFrame([("signup", 1), ("error", 2), ("view", 3), ("click", 4), ("purchase", 5)], "event_type string, pos int"), "event_type")
+    return state.first_acceptable_source(n, "event_type", "n", "pos", ENOUGH)
 
 
 def retained(spark, sf):
@@ -219,7 +230,7 @@ ORACLE = {
     "s19_upsert": "with n as (select c_custkey+100 k, case when c_custkey%4=0 then 'NEW' end s, round(c_acctbal,2) b from customer where c_custkey%2=0) select coalesce(k,c_custkey) c_custkey, coalesce(s,c_mktsegment) c_mktsegment, coalesce(b,round(c_acctbal,2)) balance from customer full join n on k=c_custkey",
     "s25_undo_log": "select c_custkey, c_mktsegment old_c_mktsegment, case when c_custkey%5=1 then 'MOVED' end new_c_mktsegment from customer where c_custkey%5 in (0,1)",
     "s29_patch": "select s_suppkey, s_name, case when s_suppkey%4=0 then 0.0e0 else round(s_acctbal,2) end balance from supplier",
-    "s5_source_ladder": f"with {DET}, n as (select event_type, count(*) n from det where event_id<60 group by 1), o(event_type,pos) as (values ('signup',1),('error',2),('view',3),('click',4),('purchase',5)) select event_type, n from n join o using (event_type) order by n>=12 desc, case when n>=12 then pos else -n end, pos limit 1",
+    "s5_source_ladder": f"with {DET}, n as (select event_type, count(*) n from det group by 1), o(event_type,pos) as (values ('signup',1),('error',2),('view',3),('click',4),('purchase',5)) select event_type, n from n join o using (event_type) order by n>={ENOUGH} desc, case when n>={ENOUGH} then pos else -n end, pos limit 1",
     "c31_retention": f"with {DET}, t as (select case when acquired_at < timestamp '{AS_OF}' - interval 20 days then 'old' when tier='low' and frp<20 then 'weak' when frp is null then 'null' else 'kept' end \"rule\" from det) select \"rule\", count(*) n from t group by 1",
     "c28_push_plan": f"with {DET}, s as (select incident_id, count(distinct event_id) n from det where event_type='click' and acquired_at > timestamp '{AS_OF}' - interval 24 hours and acquired_at <= timestamp '{AS_OF}' group by 1), p as (select incident_id device, arg_min(event_id,(event_id%97/4.0e0,event_id)) nearest, min(event_id%97/4.0e0) km, count(distinct event_id)-1 more from det where event_type='error' group by 1) select device, nearest, km, more, coalesce(n,0) recent, case when coalesce(n,0)<3 then 'push' else 'hold' end decision from p left join s on s.incident_id=device",
     "c22_fetch_states": f"with {DET}, s as (select event_id, ['awaiting','submitted','downloaded','failed'][event_id%4+1] s, event_id%3 a, ['done','error','pending'][event_id//4%3+1] t from det) select event_id, case when s in ('downloaded','failed') then s when s='awaiting' then 'submitted' when t='done' then 'downloaded' when t='error' then case when a+1>=3 then 'failed' else 'awaiting' end else s end \"next\" from s",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, rules, text, times
 from ..operators import reporting, state
 from ..sources import feeds
+from ..operators.durable import cut
 from ..sources.tables import table
 from .stand_ins import AS_OF, CENTRES, DET, PLACES, centres, detections, places, secs
 
@@ -137,13 +138,19 @@ def histogram(spark, sf):
 
 
 def median(spark, sf):
-    """Median of each priority's prices as the upper middle one; every key's rows are counted and ranked, not gathered."""
+    """Median of each priority's prices as the upper middle one.
+
+    One sort by range numbers all rows; what a priority has in each range is counted, and the counts tell which row is the middle one.
+    """
     from pyspark.sql import Window
 
     o = table(spark, sf, "orders").select("o_orderpriority", "o_totalprice")
-    n = F.count("*").over(Window.partitionBy("o_orderpriority"))
-    r = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice"))
-    return o.select("o_orderpriority", "o_totalprice", n.alias("n"), r.alias("r")).where("r = n div 2 + 1").select("o_orderpriority", "n", F.round("o_totalprice", 2).alias("median"))
+    placed = cut(o.orderBy("o_orderpriority", "o_totalprice").withColumn("m", F.monotonically_increasing_id()))
+    counts = placed.groupBy("o_orderpriority", F.shiftright("m", 33).alias("range")).agg(F.count("*").alias("c"), F.min("m").alias("first"))
+    own = Window.partitionBy("o_orderpriority")
+    told = counts.withColumns({"n": F.sum("c").over(own), "before": F.sum("c").over(own.orderBy("range")) - F.col("c")}).withColumn("skip", F.expr("n div 2 - before"))
+    middle = told.where("skip >= 0 and skip < c").select((F.col("first") + F.col("skip")).alias("m"), "n")
+    return placed.join(middle, "m").select("o_orderpriority", "n", F.round("o_totalprice", 2).alias("median"))
 
 
 def summary(spark, sf):
@@ -213,7 +220,7 @@ NEAR_SQL = r"""with b as (select item_id, list_distinct(list_filter(string_split
 def redacted(spark, sf):
     d = table(spark, sf, "documents")
     url = F.concat(F.lit("/p?lat=38."), F.col("doc_id"), F.lit("&lng=-27.5&q="), F.col("lang"))
-    return d.select("doc_id", text.redact_coordinates(url).alias("url"), F.sha2("text", 256).alias("digest"), text.clean_name(F.substring("text", 1, 40)).alias("name"), rules.version_or_zero(F.concat(F.col("doc_id"), F.lit(".1"))).alias("version"), rules.older_build(F.concat(F.lit("app 1.0+"), F.col("doc_id")), 500).alias("old"))
+    return d.select("doc_id", text.redact_coordinates(url).alias("url"), F.sha2("text", 256).alias("digest"), text.clean_name(F.split("text", "\n")[0]).alias("name"), rules.version_or_zero(F.concat(F.col("doc_id"), F.lit(".1"))).alias("version"), rules.older_build(F.concat(F.lit("app 1.0+"), F.col("doc_id")), 500).alias("old"))
 
 
 def links(spark, sf):
@@ -260,7 +267,7 @@ ORACLE = {
     "a26_daily_budget": f"with {DET}, u as (select event_id, sum(event_id) over (partition by acquired_at::date order by acquired_at range between unbounded preceding and current row)::bigint used from det) select event_id, used, round(used/3000.0e0,4) share from u",
     "c17_unknown_counts": f"with {CENTRES}, {PLACES}, n as (select region_id, count(*) n from places where radius_km>20 and region_id%3<>1 group by 1) select c.region_id, case when c.region_id<>7 then coalesce(n,0) end n from centres c left join n using (region_id)",
     "t3_gate_reasons": GATE_SQL, "t13_near_titles": NEAR_SQL,
-    "t16_redacted": """select doc_id, '/p?lat=[redacted]&lng=[redacted]&q='||lang url, sha256(text) digest, nullif(trim(regexp_replace(regexp_replace(substr(text,1,40),'[\\p{Cc}\\p{Cf}]','','g'),'\\s+',' ','g')),'') as name, doc_id||'.1' as version, doc_id<500 old from documents""",
+    "t16_redacted": """select doc_id, '/p?lat=[redacted]&lng=[redacted]&q='||lang url, sha256(text) digest, (select case when length(x) between 1 and 60 then x end from (select trim(regexp_replace(regexp_replace(split_part(text,chr(10),1),'[\\p{Cc}\\p{Cf}]','','g'),'\\s+',' ','g')) x)) as name, doc_id||'.1' as version, doc_id<500 old from documents""",
     "s12_page_links": """with m as (select page_id, unnest(regexp_extract_all(html,'<a[^>]*\\bhref="([^"]*)"[^>]*>([^<]*)</a>',1)) href from pages) select page_id, count(*) links, min(href) first_href from m group by 1""",
     "p12_calendar": f"""select o_orderkey, strftime(o_orderdate,'%Y-%m-%d') as day, (select count(*) from unnest([1,2,3,4,5]) k(k) where last_day((date_trunc('month',o_orderdate) - to_months(k))::date) + 32 <= o_orderdate::date)::bigint as months, floor((epoch_us(o_orderdate)+epoch_us(timestamp '{AS_OF}'))/2/1000000.0)::bigint mid from orders""",
     "p21_land_cover": """with c as (select *, p_size%40 b, p_partkey%60 c, p_partkey%45 t, p_partkey%50 g from part), k as (select *, case when b>=30 then 'built' when c>=35 and t<35 then 'agriculture' when t+g>=60 then 'natural' else 'other' end cover from c)
