@@ -8,7 +8,7 @@ each power of two in its binary form; documents go in descending order of
 estimated cost (linear plus quadratic attention) to the cheapest sequence with
 room for them, and are cut only where no sequence holds them whole.
 
-A worker keeps the ids of words it met, CACHE_BYTES at most; a window holds the ids of
+A worker keeps the ids of words it met lately, twice CACHE_BYTES at most; a window holds the ids of
 about `window_tokens` and of one text more. Words are looked up by shortcuts that one
 kind of tokenizer file allows; a worker tries them on words of all shapes first and
 asks the library for whole texts where they don't hold.
@@ -36,8 +36,8 @@ from .batches import map_batches
 CAPACITY = 4096
 END_ID = 2
 WINDOW_TOKENS = 1 << 20
-#: Bytes a worker's word cache may take before it starts afresh, about.
-CACHE_BYTES = 64 << 20
+#: Bytes of the words a worker met lately, about; when they are more, they become the older ones, which keep as much and of which those met again are lately met.
+CACHE_BYTES = 48 << 20
 #: What a cached word takes beside its characters and ids: two object heads and a place in the table.
 WORD_BYTES = 200
 #: Texts tokenised at once: enough that most of their words recur.
@@ -69,7 +69,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.Sequence([])
-        self.words, self.bytes = {"": b""}, 0
+        self.words, self.older, self.bytes = {"": b""}, {}, 0
         self.as_assumed = self._agrees()
 
     def _library(self, texts: list[str], only_merge: bool = False) -> list[bytes]:
@@ -92,9 +92,21 @@ class WordEncoder:
         """A word in the byte alphabet of the merges."""
         return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
 
+    def _known(self, word: str) -> bool:
+        """Whether the word's ids are at hand; those of older words are taken over."""
+        if word not in self.words and (ids := self.older.get(word)) is not None:
+            self._put(word, ids)
+        return word in self.words
+
+    def _put(self, word: str, ids: bytes) -> None:
+        self.words[word] = ids
+        self.bytes += WORD_BYTES + len(word) + len(ids)
+
     def learn(self, new: list[str]) -> None:
         words, parts, need, letters = self.words, [], set(), set()
         for word in new:
+            if self._known(word):
+                continue
             stem = word.rstrip(MARKS)
             simple = max(word) < "\u0130"  # up to here lower case is one to one and letters are composed
             if not simple or not stem[-1:].isalpha():
@@ -104,16 +116,15 @@ class WordEncoder:
                 stem = stem.lower()
             if stem != word:
                 parts.append((word, stem, marks))
-                if marks and marks not in words:
+                if marks and not self._known(marks):
                     need.add(marks)
-            if stem not in words:
+            if not self._known(stem):
                 (letters if simple and stem.isalpha() else need).add(stem)
         need, letters = list(need), list(letters)
-        words.update(zip(need, self._library(need)))
-        words.update(zip(letters, self._library([self._spelt(w) for w in letters], only_merge=True)))
+        for word, ids in zip([*need, *letters], self._library(need) + self._library([self._spelt(w) for w in letters], only_merge=True)):
+            self._put(word, ids)
         for word, stem, marks in parts:
-            words[word] = words[stem] + words[marks] if marks else words[stem]
-        self.bytes += sum(WORD_BYTES + len(w) + len(words[w]) for w in new)
+            self._put(word, words[stem] + words[marks] if marks else words[stem])
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
@@ -126,7 +137,7 @@ class WordEncoder:
         if not self.as_assumed:
             return self._library(texts.to_pylist())
         if self.bytes > CACHE_BYTES:
-            self.words, self.bytes = {"": b""}, 0
+            self.words, self.older, self.bytes = {"": b""}, self.words, 0
         split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
