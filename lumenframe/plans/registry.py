@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import check_plans, join_plans, row_plans, time_plans
+from . import check_plans, join_plans, news_plans, row_plans, time_plans
 
-MODULES = [time_plans, row_plans, join_plans, check_plans]
+MODULES = [time_plans, row_plans, join_plans, check_plans, news_plans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
