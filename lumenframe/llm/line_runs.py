@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.durable import cut, keep
+from ..operators.durable import keep
 from .batches import join_groups
 
 MIN_WORDS = 50
@@ -67,7 +67,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _ranked(groups: DataFrame, *order: str) -> DataFrame:
     """groups with a rank that rises in the given order: sorted by range, numbered where each range lies, then kept."""
-    return cut(groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
+    return keep(groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -79,7 +79,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranked = _ranked(lines.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1"), "x", "y")
     again = join_groups(lines, ranked, ["x", "y"], lines.count()).select("d", "h", "i", "words", "rank")
     once = again.repartition("d", "h").dropDuplicates(["d", "h", "i"])
-    return cut(_stretched(once, min_words))
+    return keep(_stretched(once, min_words))
 
 
 def _stretched(places: DataFrame, min_words: int) -> DataFrame:
@@ -113,9 +113,9 @@ def depths(places: DataFrame) -> DataFrame:
         deeper = ranks.where(F.col("deep") >= 2 * size)
         if deeper.isEmpty():
             return found
-        pairs = cut(deeper.select("d", "h", "i", "deep", "flat", F.col("rank").alias("r1"), F.first("rank").over(here).alias("r2")).where("r2 is not null"))
+        pairs = keep(deeper.select("d", "h", "i", "deep", "flat", F.col("rank").alias("r1"), F.first("rank").over(here).alias("r2")).where("r2 is not null"))
         classes = _ranked(pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1"), "r1", "r2")
-        ranks = cut(join_groups(pairs, classes, ["r1", "r2"], pairs.count()).select("d", "h", "i", "rank", "deep", "flat"))
+        ranks = keep(join_groups(pairs, classes, ["r1", "r2"], pairs.count()).select("d", "h", "i", "rank", "deep", "flat"))
         k += 1
 
 
@@ -128,9 +128,9 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # a stretch of 2^k to 2^(k+1) - 1 lines: the ranks of its first and last 2^k lines, which cover it, tell it
     wanted = wanted.withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")).withColumn("j", F.expr("i + n - shiftleft(1, k)"))
     first = wanted.join(ranks.withColumnRenamed("rank", "r1"), ["k", "d", "h", "i"])
-    told = cut(first.join(ranks.select("k", "d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["k", "d", "h", "j"]).select("d", "h", "i", "n", "r1", "r2"))
+    told = keep(first.join(ranks.select("k", "d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["k", "d", "h", "j"]).select("d", "h", "i", "n", "r1", "r2"))
     groups = told.groupBy("n", "r1", "r2").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "i")).alias("first")).where("c > 1")
-    later = join_groups(told, cut(groups), ["n", "r1", "r2"], told.count()).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
+    later = join_groups(told, keep(groups), ["n", "r1", "r2"], told.count()).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
     return later.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1))))).alias("cut_lines"))
 
 
