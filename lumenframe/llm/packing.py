@@ -228,6 +228,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
             base += max((p[3] for p in pieces), default=-1) + 1
+            # the pool keeps what batches took, a quarter of a worker's memory, also while the worker waits for its next task
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(pc.fill_null(batch.column(1), ""))):
