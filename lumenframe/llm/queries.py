@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import embeddings, line_runs, packing, pseudonyms, quality, secrets, sentencepieces, simhash, sketches, toxicity
+from . import embeddings, fill_middle, hard_negatives, line_runs, packing, pseudonyms, quality, secrets, sentencepieces, simhash, sketches, token_counts, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -76,6 +76,21 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.with_cuts(docs).select("row.doc_id", "row.text", F.coalesce(F.size("cut_lines"), F.lit(0)).alias("lines_removed"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), anchor=F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -88,9 +103,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_fingerprints": op9_fingerprints,
         "op10_line_runs": op10_line_runs,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_token_counts": op12_token_counts,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others learn, tokenise, sketch or walk graphs; tests hold them against brute force."""
-    return {"op4_secrets": secrets.oracle_sql()}
+    return {"op4_secrets": secrets.oracle_sql(), "op11_fill_middle": fill_middle.oracle_sql(), "op13_hard_negatives": hard_negatives.ORACLE}
