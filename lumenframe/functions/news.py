@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from . import matching
 from .text import WORD, C, _c, quote, turkish_lower
 
 # Words, patterns and rule names of the headline rules.
@@ -142,23 +143,31 @@ def wildfire_basis(title: C, body: C) -> Column:
 
 def geography(title: C, body: C) -> Column:
     """Struct of turkey, basis and the places that decided: far ones, or neighbours followed by what reaches home."""
-    x = F.regexp_replace(_joined(title, body), NOT_A_PLACE, " ")
-    far, near, home = x.rlike(whole(FAR)), x.rlike(NEAR), x.rlike(REACHES_HOME)
-    far_names = _kept([F.when(x.rlike(whole([w])), F.lit(w)) for w in FAR])
-    near_names = _kept([F.when(x.rlike(whole(words)), F.lit(country)) for country, words in NEIGHBOURS.items()])
-    border = F.when(x.rlike(f"(^|[^{WORD}]){BORDER}($|[^ls])"), F.lit(BORDER))
-    home_names = _kept([*(F.when(x.rlike(whole([w])), F.lit(w)) for w in HOME + PROVINCES), border])
-    basis = F.when(far, "far_country").when(~near, "no_foreign_place").when(home, "neighbour_reaching_turkey").otherwise("neighbour_only")
-    matched = F.when(far, far_names).when(near, F.concat(near_names, home_names)).otherwise(F.array().cast("array<string>"))
-    return F.struct((~far & (~near | home)).alias("turkey"), basis.alias("basis"), matched.alias("matched"))
+    known = [*FAR, *(w for words in NEIGHBOURS.values() for w in words), *HOME, *PROVINCES]
+
+    def told(met: Column, border: Column) -> Column:
+        far_names = F.array_intersect(F.array(*map(F.lit, FAR)), met)
+        near_names = _kept([F.when(F.arrays_overlap(F.array(*map(F.lit, words)), met), F.lit(country)) for country, words in NEIGHBOURS.items()])
+        home_names = F.concat(F.array_intersect(F.array(*map(F.lit, HOME + PROVINCES)), met), F.when(border, F.array(F.lit(BORDER))).otherwise(F.array().cast("array<string>")))
+        return F.struct(far_names.alias("far"), near_names.alias("near"), home_names.alias("home"))
+
+    def decided(names: Column) -> Column:
+        far, near, home = (F.size(names[c]) > 0 for c in ("far", "near", "home"))
+        basis = F.when(far, "far_country").when(~near, "no_foreign_place").when(home, "neighbour_reaching_turkey").otherwise("neighbour_only")
+        matched = F.when(far, names["far"]).when(near, F.concat(names["near"], names["home"])).otherwise(F.array().cast("array<string>"))
+        return F.struct((~far & (~near | home)).alias("turkey"), basis.alias("basis"), matched.alias("matched"))
+
+    found = lambda x: matching.let(matching.whole_words(x, known), lambda met: told(met, x.rlike(f"(^|[^{WORD}]){BORDER}($|[^ls])")))
+    return matching.let(matching.let(F.regexp_replace(_joined(title, body), NOT_A_PLACE, " "), found), decided)
 
 
 def province_in_title(title: C) -> Column:
     """The one province that a title names, with a capital; null for none or several. A name first met as 'from there' doesn't count."""
     t = _low(title)
-    named = lambda w: F.regexp_extract(t, f"(?s)(?:^|[^{WORD}])({quote(w)}(?![{WORD}]).{{0,5}})", 1)
-    found = [F.when((named(w) != "") & ~F.substring(named(w), len(w) + 1, 5).rlike(FROM_ENDING), F.lit(PROVINCE_NAMES.get(w, w))) for w in PROVINCES]
-    names = F.when(t.rlike(whole(PROVINCES)), F.array_distinct(_kept(found)))
+    words, after = matching.followed(t, 5)
+    met = F.filter(F.array_intersect(F.array(*map(F.lit, PROVINCES)), words), lambda w: ~F.element_at(after, F.array_position(words, w).cast("int")).rlike(FROM_ENDING))
+    same = F.create_map(*(F.lit(x) for pair in PROVINCE_NAMES.items() for x in pair))
+    names = F.array_distinct(F.transform(met, lambda w: F.coalesce(same[w], w)))
     first = F.element_at(names, 1)
     capital = F.when(first.startswith("i"), "İ").when(first.startswith("ı"), "I").otherwise(F.upper(F.substring(first, 1, 1)))
     return F.when(F.size(names) == 1, F.concat(capital, F.substring(first, 2, 40)))
@@ -166,9 +175,9 @@ def province_in_title(title: C) -> Column:
 
 def named_places(x: C, names: Sequence[str]) -> Column:
     """The names that occur with no letter or digit before them, in the list's order; endings may follow."""
-    low = _low(x)
-    lowered = lambda n: n.replace("İ", "i").lower()
-    return _kept([F.when(low.rlike(f"(^|[^a-z0-9ğüşıöç]){quote(lowered(n))}"), F.lit(n)) for n in names])
+    lowered = [n.replace("İ", "i").lower() for n in names]
+    met = matching.at_starts(_low(x), lowered)
+    return F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(met, turkish_lower(n)))
 
 
 def about_province(title: C, body: C, province: C, names: Sequence[str]) -> Column:
