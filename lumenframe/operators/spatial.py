@@ -85,15 +85,27 @@ def _band(row: Column, step: float) -> Column:
     return F.when(top < 89, step / F.cos(F.radians(top)) * 1.000001)
 
 
+def _column(x: Column, row: Column, step: float) -> Column:
+    return F.coalesce(F.floor(x / _band(row, step)), F.lit(0)).cast("long")
+
+
+def point_cell(points: DataFrame, lat: str, lng: str, step: float) -> DataFrame:
+    """points with cell_row and cell_col on a grid of `step` degrees."""
+    placed = points.withColumn("cell_row", F.floor(F.col(lat) / step).cast("long"))
+    return placed.withColumn("cell_col", _column(F.col(lng), F.col("cell_row"), step))
+
+
+def box_cells(shapes: DataFrame, step: float) -> DataFrame:
+    """shapes (w, e, s, n) once for each cell that is at most a cell's width away from their box."""
+    rows = shapes.withColumn("cell_row", F.explode(F.sequence(F.floor(F.col("s") / step).cast("long") - 1, F.floor(F.col("n") / step).cast("long") + 1)))
+    reach = F.coalesce(_band(F.col("cell_row"), step), F.lit(0.0))
+    return rows.withColumn("cell_col", F.explode(F.sequence(_column(F.col("w") - reach, F.col("cell_row"), step), _column(F.col("e") + reach, F.col("cell_row"), step))))
+
+
 def near_boxes(points: DataFrame, shapes: DataFrame, lat: str, lng: str, radius_km: float) -> DataFrame:
     """points with each box at most radius_km away, in the plane scaled at the point's latitude: joined by cell, a box standing in every cell it reaches."""
     step = radius_km / KM_PER_DEGREE
-    column = lambda x, row: F.coalesce(F.floor(x / _band(row, step)), F.lit(0)).cast("long")
-    rows = shapes.withColumn("cell_row", F.explode(F.sequence(F.floor(F.col("s") / step).cast("long") - 1, F.floor(F.col("n") / step).cast("long") + 1)))
-    reach = F.coalesce(_band(F.col("cell_row"), step), F.lit(0.0))
-    spread = rows.withColumn("cell_col", F.explode(F.sequence(column(F.col("w") - reach, F.col("cell_row")), column(F.col("e") + reach, F.col("cell_row")))))
-    placed = points.withColumn("cell_row", F.floor(F.col(lat) / step).cast("long"))
-    placed = placed.withColumn("cell_col", column(F.col(lng), F.col("cell_row")))
+    placed, spread = point_cell(points, lat, lng, step), box_cells(shapes, step)
     dx = F.greatest(F.col("w") - F.col(lng), F.col(lng) - F.col("e"), F.lit(0.0)) * F.cos(F.radians(lat))
     dy = F.greatest(F.col("s") - F.col(lat), F.col(lat) - F.col("n"), F.lit(0.0))
     return placed.join(spread, ["cell_row", "cell_col"]).where(F.sqrt(dx * dx + dy * dy) * KM_PER_DEGREE <= radius_km * 1.000001).drop("cell_row", "cell_col", "w", "e", "s", "n")
@@ -192,13 +204,15 @@ def convex_hulls(points: DataFrame, key: str, lat: str = "lat", lng: str = "lng"
             parts = [(k, *p) for k, g in pdf.groupby("key", sort=False) for p in hull(list(zip(g["lng"], g["lat"])))]
             yield pd.DataFrame(parts, columns=["key", "lng", "lat"])
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = hull(list(zip(pdf["lng"], pdf["lat"])))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ring": [[list(p) for p in [*ring, ring[0]]]]})
+    def close(batches):
+        for pdf in batches:
+            rings = [hull([(p["lng"], p["lat"]) for p in xy]) for xy in pdf["xy"]]
+            yield pd.DataFrame({"key": pdf["key"], "ring": [[list(p) for p in [*ring, ring[0]]] for ring in rings]})
 
     rows = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(lng).cast("double").alias("lng"), F.col(lat).cast("double").alias("lat"))
     few = rows.mapInPandas(corners, "key long, lng double, lat double")
-    return few.groupBy("key").applyInPandas(close, "key long, ring array<array<double>>").withColumnRenamed("key", key)
+    met = few.groupBy("key").agg(F.collect_list(F.struct("lng", "lat")).alias("xy"))
+    return met.mapInPandas(close, "key long, ring array<array<double>>").withColumnRenamed("key", key)
 
 
 def swath_coverage(track: DataFrame, points: DataFrame, half_swath_km: float, platform: str = "platform", max_step_seconds: int = 120, reach_km: float = 1600.0) -> DataFrame:

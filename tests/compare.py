@@ -12,6 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def oracle_rows(sql: str, sf_dir: str):
     con = duckdb.connect()
+    con.execute("set max_temp_directory_size = '4GB'")  # a statement that needs more is wrong
     for t in TABLES:
         if os.path.exists(f"{sf_dir}/{t}.parquet"):
             con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
