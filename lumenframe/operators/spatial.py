@@ -150,6 +150,24 @@ def assign_polygon(points: DataFrame, edges: DataFrame, point_id: str, polygon_i
     return points.select(point_id).join(told, point_id, "left").select(point_id, polygon_id, F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
+def representative_points(edges: DataFrame, polygon_id: str) -> DataFrame:
+    """polygon_id, lat, lng of a point inside each polygon (edges of all its rings), holes and hollows left out.
+
+    A level line runs half-way between the two heights of corners next to the middle, so it meets no corner; its crossings, sorted, bound what
+    lies inside in turn, and the middle of the widest stretch is taken, the western one of equals. A polygon without height has no point. Edges stand as rows; repeated ones count once.
+    """
+    lines = edges.where(F.col(polygon_id).isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull()).select(polygon_id, "x1", "y1", "x2", "y2").distinct()
+    middle = lines.groupBy(polygon_id).agg(((F.min(F.least("y1", "y2")) + F.max(F.greatest("y1", "y2"))) / 2).alias("_mid"))
+    heights = lines.select(polygon_id, F.explode(F.array("y1", "y2")).alias("_y")).join(small(middle), polygon_id)
+    level = heights.groupBy(polygon_id).agg(((F.max(F.when(F.col("_y") <= F.col("_mid"), F.col("_y"))) + F.min(F.when(F.col("_y") > F.col("_mid"), F.col("_y")))) / 2).alias("_level"))
+    met = lines.join(small(level.where(F.col("_level").isNotNull())), polygon_id).where((F.col("y1") > F.col("_level")) != (F.col("y2") > F.col("_level")))
+    x = F.col("x1") + (F.col("_level") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    order = Window.partitionBy(polygon_id).orderBy("_x")
+    stretches = met.select(polygon_id, "_level", x.alias("_x")).withColumn("_n", F.row_number().over(order)).withColumn("_to", F.lead("_x").over(order)).where("_n % 2 = 1 and _to is not null")
+    widest = stretches.groupBy(polygon_id, "_level").agg(F.max(F.struct((F.col("_to") - F.col("_x")).alias("w"), (-F.col("_x")).alias("x"))).alias("b"))
+    return widest.select(polygon_id, F.col("_level").alias("lat"), (F.col("b.w") / 2 - F.col("b.x")).alias("lng"))
+
+
 def border_gate(inside_home: Column, home_km: Column, in_neighbour: Column, sea_km: float = 5.0, land_km: float = 1.5) -> Column:
     """Inside, or within sea_km of the border unless on a neighbour's land farther than land_km in."""
     return inside_home | ((home_km <= sea_km) & ~(F.coalesce(in_neighbour, F.lit(False)) & (home_km > land_km)))

@@ -1,11 +1,12 @@
-"""Suppliers as districts of their nations, two of a name each, and as shapes that spell them in seven ways."""
+"""Suppliers as districts of their nations, two of a name each, as shapes that spell them in seven ways, and as outlines with a hole."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gazetteer
+from ..operators import gazetteer, spatial
 from ..sources.tables import table
+from .stand_ins import SITES, sites
 
 #: Letters that stand for the digits of a number in a name, and what folding makes of them.
 DIGITS, LETTERS, FOLDED = "0123456789", "çğıöşüabde", "cgiosuabde"
@@ -55,5 +56,33 @@ MATCHED_SQL = f"""with g0 as (select s_suppkey id, 'Yer '||{_C.format('s_suppkey
  b as (select * from hit qualify row_number() over (partition by shape_id order by o)=1), c as (select *, count(*) over (partition by id) n from b)
  select s.shape_id, case when n=1 then id end district_id, stage, coalesce(n>1, false) as conflict from s left join c using (shape_id)"""
 
-QUERIES = {"j23_matched_shapes": matched}
-ORACLE = {"j23_matched_shapes": MATCHED_SQL}
+#: Corners of an outline around a supplier, a C that is open to the east, and of a hole in its back.
+OUTER = [(-0.8, -0.6), (0.9, -0.6), (0.9, -0.3), (-0.1, -0.3), (-0.1, 0.4), (0.9, 0.4), (0.9, 0.7), (-0.8, 0.7), (-0.8, -0.6)]
+HOLE = [(-0.7, -0.2), (-0.3, -0.2), (-0.3, 0.3), (-0.7, 0.3), (-0.7, -0.2)]
+
+
+def outlines(spark, sf):
+    """Edges of the outlines, each stretched by its supplier's number."""
+    k = 1 + F.col("site_id") % 7 / 10.0
+    ring = lambda corners: F.array(*(F.array(F.col("lng") + k * x, F.col("lat") + k * y) for x, y in corners))
+    return spatial.polygon_edges(sites(spark, sf).select("site_id", F.array(ring(OUTER), ring(HOLE)).alias("rings")), "site_id", "rings")
+
+
+def inner_points(spark, sf):
+    edges = outlines(spark, sf)
+    points = spatial.representative_points(edges, "site_id")
+    across = points.join(edges, "site_id").groupBy("site_id", "lat", "lng").agg((F.count_if(spatial.geo.crosses("lat", "lng", "x1", "y1", "x2", "y2")) % 2 == 1).alias("inside"))
+    return across.select("site_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "inside")
+
+
+_SIDES = ", ".join(f"({a[0]}e0,{a[1]}e0,{b[0]}e0,{b[1]}e0)" for ring in (OUTER, HOLE) for a, b in zip(ring, ring[1:]))
+INNER_SQL = f"""with {SITES}, c(a1,b1,a2,b2) as (values {_SIDES}), e as (select site_id, lng+k*a1 x1, lat+k*b1 y1, lng+k*a2 x2, lat+k*b2 y2 from (select *, 1+site_id%7/10.0e0 k from sites), c),
+ m as (select site_id, (min(least(y1,y2))+max(greatest(y1,y2)))/2 mid from e group by 1), h as (select site_id, y1 y from e union select site_id, y2 from e),
+ l as (select site_id, (max(y) filter (where y<=mid) + min(y) filter (where y>mid))/2 lvl from h join m using (site_id) group by 1),
+ x as (select site_id, lvl, x1+(lvl-y1)*(x2-x1)/(y2-y1) x from e join l using (site_id) where (y1>lvl)<>(y2>lvl)),
+ s as (select *, row_number() over (partition by site_id order by x) n, lead(x) over (partition by site_id order by x) nxt from x),
+ b as (select site_id, lvl, x, nxt from s where n%2=1 qualify row_number() over (partition by site_id order by nxt-x desc, x)=1)
+ select site_id, round(lvl,6) lat, round((x+nxt)/2,6) lng, true as inside from b"""
+
+QUERIES = {"j23_matched_shapes": matched, "g14_inner_points": inner_points}
+ORACLE = {"j23_matched_shapes": MATCHED_SQL, "g14_inner_points": INNER_SQL}

@@ -19,3 +19,27 @@ def test_known_names(spark):
     assert got == {i: (d, s, i in (12, 13)) for i, _, _, d, s in SHAPES}
     assert {r["district_id"] for r in gazetteer.matched_shapes(shapes, districts.limit(0)).collect()} == {None}
     assert gazetteer.matched_shapes(shapes.limit(0), districts).count() == 0
+
+
+def test_inner_points_lie_inside(spark):
+    import math
+    import random
+
+    from lumenframe.operators import spatial
+
+    rng = random.Random(6)
+    edges = []
+    for p in range(60):
+        n = rng.randrange(3, 12)
+        reach = [rng.uniform(0.3, 2) for _ in range(n)]
+        for shrink in (1.0, 0.4) if p % 2 else (1.0,):  # every other one has a hole of its own shape
+            corners = [(30 + shrink * r * math.cos(2 * math.pi * k / n), 40 + shrink * r * math.sin(2 * math.pi * k / n)) for k, r in enumerate(reach)]
+            edges += [(p, *a, *b, "x") for a, b in zip(corners, [*corners[1:], corners[0]])]
+    flat = [(100, 1.0, 1.0, 2.0, 1.0, "x"), (100, 2.0, 1.0, 1.0, 1.0, "x"), (None, 1.0, 1.0, 2.0, 2.0, "x"), (101, None, 1.0, 2.0, 2.0, "x")]
+    df = spark.createDataFrame([*edges, *edges[:5], *flat], "id long, x1 double, y1 double, x2 double, y2 double, lat string")
+    got = {r["id"]: (r["lng"], r["lat"]) for r in spatial.representative_points(df, "id").collect()}
+    assert set(got) == set(range(60))
+    for p, (x, y) in got.items():
+        crossed = sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for i, x1, y1, x2, y2, _ in edges if i == p)
+        assert crossed % 2 == 1
+    assert spatial.representative_points(df.limit(0), "id").count() == 0
