@@ -98,43 +98,6 @@ def fold_stories(items: DataFrame, gap_hours: float = 48, unknown_gap_hours: flo
     return items.where(F.col("province").isNotNull()).groupBy("province").applyInPandas(walk, "province string, story long, items array<long>")
 
 
-def fold_entities(clusters: DataFrame, open_entities: DataFrame, candidates: DataFrame, hours: float = 72.0) -> DataFrame:
-    """cluster -> entity, each cluster in order of its least observation id joining the nearest entity within reach.
-
-    clusters: cluster, first_at, last_at. open_entities: entity, last_at. candidates: cluster, other (an entity, or minus
-    an earlier cluster's id), km. What a cluster starts is visible to later ones, so each group of clusters connected
-    through candidates is walked in one task; groups don't see each other.
-    """
-    from .graph import connected_components
-
-    shifted = candidates.select((-F.col("cluster") - 1).alias("a"), F.when(F.col("other") < 0, F.col("other") - 1).otherwise(F.col("other") + 1).alias("b"))
-    labels = connected_components(shifted, "a", "b")
-    grouped = (
-        clusters.join(labels.select((-F.col("id") - 1).alias("cluster"), "component"), "cluster", "left").withColumn("component", F.coalesce("component", -F.col("cluster") - 1))
-        .join(candidates.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("km", "other"))).alias("near")), "cluster", "left")
-    )
-    seen = grouped.withColumn("known", F.transform(F.coalesce("near", F.array().cast("array<struct<km:double,other:long>>")), lambda s: s["other"]))
-    ends = seen.select("component", F.explode("known").alias("entity")).distinct().join(open_entities, "entity").groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.unix_micros("last_at")))).alias("open"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        last = dict(pdf["open"].iloc[0] or ())
-        entity_of: dict[int, int] = {}
-        limit = hours * 3.6e9
-        for row in pdf.sort_values("cluster").itertuples():
-            best = None
-            for s in row.near if row.near is not None else ():
-                target = entity_of.get(-s["other"]) if s["other"] < 0 else s["other"]
-                if target is not None and target in last and row.first_us - last[target] <= limit:
-                    best = target
-                    break
-            entity_of[row.cluster] = best = best if best is not None else -row.cluster
-            last[best] = max(last.get(best, 0), row.last_us)
-        return pd.DataFrame({"cluster": list(entity_of), "entity": list(entity_of.values())})
-
-    rows = seen.join(ends, "component", "left").select("component", "cluster", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "near", "open")
-    return rows.groupBy("component").applyInPandas(walk, "cluster long, entity long")
-
-
 def batches_of(rows: Iterator, size: int) -> Iterator[list]:
     """Chunks for sinks that take a bounded number of rows at once."""
     held: list = []

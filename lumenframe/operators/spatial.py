@@ -173,25 +173,27 @@ def border_gate(inside_home: Column, home_km: Column, in_neighbour: Column, sea_
     return inside_home | ((home_km <= sea_km) & ~(F.coalesce(in_neighbour, F.lit(False)) & (home_km > land_km)))
 
 
-def density_clusters(points: DataFrame, point_id: str, eps_m: float = 1200.0, lat: str = "lat", lng: str = "lng") -> DataFrame:
+def density_clusters(points: DataFrame, point_id: str, eps_m: float = 1200.0, lat: str = "lat", lng: str = "lng", apart: str | None = None) -> DataFrame:
     """(point_id, cluster) of clusters in which each point has a neighbour within eps: components of the eps graph.
 
+    apart names a column of whole numbers; points that differ in it are never linked, so many sets are clustered at once.
+
     Distances are planar in the equal-area projection. Points of one small square (side eps / sqrt 2) are
     linked to its first one - they are all within eps - so a crowded place gives a line of links, not its
     square; only squares that touch are compared point by point.
     """
     x, y = geo.laea_xy(lat, lng)
     side = eps_m / 2**0.5
-    placed = cut(points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(F.col(point_id).cast("long").alias("id"), x.alias("x"), y.alias("y")).withColumn("i", F.floor(F.col("x") / side)).withColumn("j", F.floor(F.col("y") / side)))
-    heads = placed.groupBy("i", "j").agg(F.min("id").alias("head"))
-    own = placed.join(heads, ["i", "j"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    placed = cut(points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(F.col(point_id).cast("long").alias("id"), (F.col(apart) if apart else F.lit(0)).cast("long").alias("g"), x.alias("x"), y.alias("y")).withColumn("i", F.floor(F.col("x") / side)).withColumn("j", F.floor(F.col("y") / side)))
+    heads = placed.groupBy("g", "i", "j").agg(F.min("id").alias("head"))
+    own = placed.join(heads, ["g", "i", "j"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
     # one representative link per pair of squares within reach: the closest pair of their points
-    distinct = placed.groupBy("i", "j", "x", "y").agg(F.min("id").alias("id"))
+    distinct = placed.groupBy("g", "i", "j", "x", "y").agg(F.min("id").alias("id"))
     reach = [(di, dj) for di in range(-2, 3) for dj in range(-2, 3) if (di, dj) > (0, 0) and not (abs(di) == 2 and abs(dj) == 2)]
     moves = F.explode(F.array(*(F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di, dj in reach)))
-    left = distinct.select(moves.alias("m"), *(F.col(c) for c in ("i", "j", "x", "y", "id"))).select((F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("id").alias("a"), F.col("i").alias("i1"), F.col("j").alias("j1"))
+    left = distinct.select(moves.alias("m"), *(F.col(c) for c in ("g", "i", "j", "x", "y", "id"))).select("g", (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("id").alias("a"), F.col("i").alias("i1"), F.col("j").alias("j1"))
     near = (F.col("x1") - F.col("x")) ** 2 + (F.col("y1") - F.col("y")) ** 2 <= eps_m * eps_m
-    across = left.join(distinct, ["i", "j"]).where(near).groupBy("i", "j", "i1", "j1").agg(F.min(F.struct("a", F.col("id").alias("b"))).alias("s")).select("s.a", "s.b")
+    across = left.join(distinct, ["g", "i", "j"]).where(near).groupBy("g", "i", "j", "i1", "j1").agg(F.min(F.struct("a", F.col("id").alias("b"))).alias("s")).select("s.a", "s.b")
     labels = connected_components(own.union(across), "a", "b")
     return placed.join(labels, "id", "left").select(F.col("id").alias(point_id), F.coalesce("component", "id").alias("cluster"))
 
