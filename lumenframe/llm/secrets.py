@@ -22,6 +22,8 @@ kept, whatever their names (redact).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
@@ -40,27 +42,48 @@ BASE = ["assign", "access", "hex"]
 SPAN = "struct<start:long,kind_no:int,kind:string,stop:long>"
 
 
+#: Elements that a running value is carried over at a time.
+CHUNK = 128
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: what stands in a lambda is worked out for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chunks(values: Column) -> Column:
+    """Stretches of CHUNK elements of a bound array that isn't empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda j: F.slice(values, j * CHUNK + 1, F.lit(CHUNK)))
+
+
+def before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over all longs before each one, from 0, of an array that isn't empty.
+
+    A list that grows in an aggregate is copied at each step; here none grows beyond a chunk, or the number of chunks.
+    """
+    zero = F.lit(0).cast("long")
+    walk = lambda xs, start: F.slice(F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))), F.lit(1), F.size(xs))
+    return let(let(values, _chunks), lambda cs: let(walk(F.transform(cs, lambda c: F.aggregate(c, zero, lambda x, y: op(x, y))), zero), lambda starts: F.flatten(F.transform(cs, lambda c, j: walk(c, starts[j])))))
+
+
 def spans_of(text: Column, number: int) -> Column:
     """Spans of one rule, left to right: the matches whose measured group is long enough."""
     kind, _, pattern, least = RULES[number]
     marked = F.regexp_replace(text, pattern, f"{OPEN}$1{CLOSE}$2{OPEN}")
     # parts: outside, head, tail, outside, head, tail, ..., outside; head and tail are the groups of a match
     parts = F.split(F.translate(marked, CLOSE, OPEN), OPEN)
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("start"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        size = F.char_length(part).cast("long")
-        stop = acc["at"] + size
-        span = F.struct(acc["start"].alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        ends = (acc["turn"] == 2) & (size >= least)
-        return F.struct(
-            stop.alias("at"),
-            ((acc["turn"] + 1) % 3).alias("turn"),
-            F.when(acc["turn"] == 1, acc["at"]).otherwise(acc["start"]).alias("start"),
-            F.when(ends, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
-
-    found = F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    size = lambda part: F.char_length(part).cast("long")
+
+    def placed(p: Column) -> Column:
+        last = F.floor((F.size(p) - 1) / 3).cast("int") - 1
+        sizes = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(size(p[k * 3]).alias("outside"), (size(p[k * 3 + 1]) + size(p[k * 3 + 2])).alias("match"), size(p[k * 3 + 2]).alias("tail")))
+        return let(sizes, lambda m: let(before(F.transform(m, lambda s: s["outside"] + s["match"]), lambda x, y: x + y), lambda at: F.filter(F.transform(m, lambda s, k: span(s, at[k])), lambda s: s["tail"] >= least)))
+
+    def span(s: Column, at: Column) -> Column:
+        start = at + s["outside"]
+        return F.struct(start.alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), (start + s["match"]).alias("stop"), s["tail"].alias("tail"))
+
+    found = F.transform(let(parts, placed), lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind_no", "kind", "stop"))))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -130,19 +153,22 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     Without a ledger docs are scanned into a new one first.
     """
     ledger = scan(docs) if ledger is None else ledger
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), blob_name(F.col("text").cast("string")).alias("blob"))
     joined = whole.join(_told(ledger), "blob", "left")
     text = F.col("row")["text"].cast("string")
-
-    def step(acc: Column, s: Column) -> Column:
-        skip = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
-        )
-
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.lit(2147483647))))
+    cut = lambda t, start, stop: F.substring(t, (start + 1).cast("int"), (stop - start).cast("int"))
+
+    def marked(c: Column) -> Column:
+        """Text from the first free place before a chunk's spans to the one before its last: cut out once, as a place is found by walking to it."""
+        base = c[0]["free"]
+        kept = lambda t: F.transform(F.filter(c, lambda s: s["start"] >= s["free"]), lambda s: F.concat(cut(t, s["free"] - base, s["start"] - base), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return let(cut(text, base, F.greatest(F.element_at(c, -1)["start"], base)), lambda t: F.array_join(kept(t), ""))
+
+    # free: where the spans before end
+    free = before(F.transform("spans", lambda s: s["stop"]), F.greatest)
+    spans = let(free, lambda f: F.transform("spans", lambda s, k: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), f[k].alias("free"))))
+    rest = F.substring(text, (F.array_max(F.transform("spans", lambda s: s["stop"])) + 1).cast("int"), F.lit(2147483647))
+    clean = F.concat(F.array_join(F.transform(let(spans, _chunks), marked), ""), rest)
     told = F.when(F.col("spans").isNotNull(), clean).otherwise(text)
     return joined.select(*(told.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
