@@ -20,11 +20,11 @@ def tiles(spark, sf):
     row, col = F.floor(k / WIDTH), k % WIDTH
     turn = (F.floor(row / 7) * 5 + F.floor(col / 5) + F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(0)) % len(CODES)
     px = table(spark, sf, "orders").select(row.alias("row"), col.alias("col"), F.element_at(F.lit(CODES), (turn + 1).cast("int")).alias("code"))
-    met = px.groupBy(F.floor(F.col("row") / side).alias("tile_row"), F.floor(F.col("col") / side).alias("tile_col")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("row") % side * side + F.col("col") % side).cast("int").alias("k"), "code"))).alias("m")
-    )
-    cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    return met.select("tile_row", "tile_col", cells.alias("values"))
+    placed = px.select(F.floor(F.col("row") / side).alias("tile_row"), F.floor(F.col("col") / side).alias("tile_col"), (F.col("row") % side * side + F.col("col") % side).cast("int").alias("k"), "code")
+    blank = placed.select("tile_row", "tile_col").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("k"), F.lit(0).alias("code"))
+    cells = placed.unionByName(blank).groupBy("tile_row", "tile_col", "k").agg(F.max("code").alias("code"))
+    met = cells.groupBy("tile_row", "tile_col").agg(F.array_sort(F.collect_list(F.struct("k", "code"))).alias("cells"))
+    return met.select("tile_row", "tile_col", F.col("cells.code").alias("values"))
 
 
 def covers(spark, sf):
