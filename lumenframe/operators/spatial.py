@@ -79,14 +79,14 @@ def boxes(edges: DataFrame, polygon_id: str) -> DataFrame:
     return edges.groupBy(polygon_id).agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
 
 
-def _band(row: Column, step: float) -> Column:
+def band_width(row: Column, step: float) -> Column:
     """Longitude width of the cells in a row of latitude; null next to a pole, where one cell is the whole row."""
     top = F.greatest(F.abs(row * step), F.abs((row + 1) * step))
     return F.when(top < 89, step / F.cos(F.radians(top)) * 1.000001)
 
 
 def _column(x: Column, row: Column, step: float) -> Column:
-    return F.coalesce(F.floor(x / _band(row, step)), F.lit(0)).cast("long")
+    return F.coalesce(F.floor(x / band_width(row, step)), F.lit(0)).cast("long")
 
 
 def point_cell(points: DataFrame, lat: str, lng: str, step: float) -> DataFrame:
@@ -98,7 +98,7 @@ def point_cell(points: DataFrame, lat: str, lng: str, step: float) -> DataFrame:
 def box_cells(shapes: DataFrame, step: float) -> DataFrame:
     """shapes (w, e, s, n) once for each cell that is at most a cell's width away from their box."""
     rows = shapes.withColumn("cell_row", F.explode(F.sequence(F.floor(F.col("s") / step).cast("long") - 1, F.floor(F.col("n") / step).cast("long") + 1)))
-    reach = F.coalesce(_band(F.col("cell_row"), step), F.lit(0.0))
+    reach = F.coalesce(band_width(F.col("cell_row"), step), F.lit(0.0))
     return rows.withColumn("cell_col", F.explode(F.sequence(_column(F.col("w") - reach, F.col("cell_row"), step), _column(F.col("e") + reach, F.col("cell_row"), step))))
 
 
@@ -221,6 +221,10 @@ def convex_hulls(points: DataFrame, key: str, lat: str = "lat", lng: str = "lng"
 
     def corners(batches):
         for pdf in batches:
+            # what has three points at most is all corners
+            few = pdf.groupby("key")["key"].transform("size") < 4
+            yield pdf[few]
+            pdf = pdf[~few]
             parts = [(k, *p) for k, g in pdf.groupby("key", sort=False) for p in hull(list(zip(g["lng"], g["lat"])))]
             yield pd.DataFrame(parts, columns=["key", "lng", "lat"])
 

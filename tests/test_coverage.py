@@ -1,6 +1,7 @@
 """Coverage tiers on known shapes and odd rows."""
 
 import datetime as dt
+import time
 
 from lumenframe.operators import coverage
 
@@ -38,3 +39,14 @@ def test_passes_go_on_over_midnight(spark):
         want[start] = want.get(start, 0) + 1
     want[rows[0][0]] += 1
     assert got == sorted(want.items())
+
+
+def test_work_follows_spots_and_rings_not_their_rows(spark):
+    # 20,000 later passes with one ring and 20,000 places at a spot of its box that none of the tiers reaches: 4e8 pairs a tier
+    n = 20_000
+    triangle = "array(array(30.0D, 40.0D), array(60.0D, 40.0D), array(30.0D, 60.0D), array(30.0D, 40.0D))"
+    hulls = spark.range(n).selectExpr("id pass_id", "timestamp_seconds(1704067200 + id) started_at", f"{triangle} ring")
+    places = spark.range(n).selectExpr("id", "60.0D lat", "60.0D lng", "timestamp_seconds(1704000000 + id) seen")
+    began = time.perf_counter()
+    got = {r["tier"]: r["count"] for r in coverage.coverage_tiers(places, hulls, "id", "seen").groupBy("tier").count().collect()}
+    assert got == {"unknown": n} and time.perf_counter() - began < 100
