@@ -2,8 +2,8 @@
 
 A distance join puts both sides on a grid whose cells are as wide as the radius and
 equi-joins on the cell, the probing side repeated over the nine neighbours; the
-exact distance decides after. Work follows the points per cell, never the product
-of the tables, and AQE can split a crowded cell.
+exact distance decides after. Rows at one place are measured once. Work follows the places per cell,
+never the product of the tables.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
-from .durable import cut
+from .durable import cut, keep
 from .graph import connected_components
 
 KM_PER_DEGREE = geo.EARTH_KM * 3.141592653589793 / 180
@@ -41,13 +41,54 @@ def _cells(lat: Column, lng: Column, radius_km: float, spread: bool) -> Column:
     return F.flatten(F.transform(near, lambda dr: F.transform(near, lambda dx: cell(row + dr, dx))))
 
 
+def _spots(df: DataFrame, at: tuple[str, str], apart: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct places of rows that have one: apart's columns, la, ln."""
+    return df.select(*apart, F.col(at[0]).cast("double").alias("la"), F.col(at[1]).cast("double").alias("ln")).where("la is not null and ln is not null").distinct()
+
+
+def _met(b: DataFrame, radius_km: float) -> DataFrame:
+    """b's spots as la2, ln2 with their cell, and that of a turn to the west and to the east, for places beyond the 180th meridian."""
+    turned = b.withColumnsRenamed({"la": "la2", "ln": "ln2"}).withColumn("turn", F.explode(F.array(F.lit(0), F.lit(-360), F.lit(360))))
+    return turned.select("*", F.explode(_cells(F.col("la2"), F.col("ln2") + F.col("turn"), radius_km, False)).alias("cell")).drop("turn")
+
+
+def _spot_pairs(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
+    """la, ln, la2, ln2, km of the spots of a (further columns stay) and b at most radius_km apart."""
+    probing = a.select("*", F.explode(_cells(F.col("la"), F.col("ln"), radius_km, True)).alias("cell"))
+    return probing.join(_met(b, radius_km), "cell").drop("cell").withColumn("km", geo.haversine_km("la", "ln", "la2", "ln2")).where(F.col("km") <= float(radius_km))
+
+
+#: Rows of one spot that go to one task with all their partners, and partners that travel in one row.
+SPOT_ROWS = 8192
+
+
 def within_distance(left: DataFrame, right: DataFrame, radius_km: float, left_at: tuple[str, str] = ("lat", "lng"), right_at: tuple[str, str] = ("lat", "lng"), row_radius_km: str | None = None) -> DataFrame:
-    """Pairs (columns l, r as structs, km) at most radius_km apart; row_radius_km names a smaller radius of the left row."""
-    a = left.select(F.struct("*").alias("l"), F.explode(_cells(F.col(left_at[0]), F.col(left_at[1]), radius_km, True)).alias("cell"))
-    b = right.select(F.struct("*").alias("r"), F.explode(_cells(F.col(right_at[0]), F.col(right_at[1]), radius_km, False)).alias("cell"))
-    km = geo.haversine_km(F.col("l")[left_at[0]], F.col("l")[left_at[1]], F.col("r")[right_at[0]], F.col("r")[right_at[1]])
+    """Pairs (columns l, r as structs, km) at most radius_km apart; row_radius_km names a smaller radius of the left row.
+
+    Places are measured once each, not once a row. The pairs of rows are then put together in as many tasks as
+    a shuffle has, however few bytes come in, with the rows of a crowded place dealt over several.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = left.select(F.struct("*").alias("l"), F.col(left_at[0]).cast("double").alias("la"), F.col(left_at[1]).cast("double").alias("ln")).where("la is not null and ln is not null")
+    b = right.select(F.struct("*").alias("r"), F.col(right_at[0]).cast("double").alias("la2"), F.col(right_at[1]).cast("double").alias("ln2")).where("la2 is not null and ln2 is not null")
+    crowds = a.groupBy("la", "ln").agg(F.ceil(F.count("*") / SPOT_ROWS).cast("int").alias("parts"))
+    pairs = _spot_pairs(crowds, b.select(F.col("la2").alias("la"), F.col("ln2").alias("ln")).distinct(), radius_km)
+    again = b.groupBy("la2", "ln2").agg(F.ceil(F.count("*") / SPOT_ROWS).cast("int").alias("shares"))
+    dealt = b.join(again, ["la2", "ln2"]).withColumn("share", F.floor(F.rand(1) * F.col("shares")))
+    lists = dealt.groupBy("la2", "ln2", "share").agg(F.collect_list("r").alias("rs")).drop("share")
+    told = pairs.join(lists, ["la2", "ln2"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("la", "ln", "part", "km", "rs")
+    rows = a.join(crowds, ["la", "ln"]).withColumn("part", F.floor(F.rand(2) * F.col("parts")).cast("int")).drop("parts").repartition(tasks, "la", "ln", "part")
     limit = F.least(F.lit(float(radius_km)), F.col("l")[row_radius_km]) if row_radius_km else F.lit(float(radius_km))
-    return a.join(b, "cell").select("l", "r", km.alias("km")).where(F.col("km") <= limit)
+    return rows.join(told, ["la", "ln", "part"]).where(F.col("km") <= limit).select("l", F.explode("rs").alias("r"), "km")
+
+
+def counts_within(left: DataFrame, right: DataFrame, radius_km: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """left with n, the right rows at most radius_km away (0 without coordinates): distinct places are measured, with their rows' number."""
+    there = right.groupBy(F.col(lat).cast("double").alias("la2"), F.col(lng).cast("double").alias("ln2")).agg(F.count("*").alias("n"))
+    pairs = _spot_pairs(_spots(left, (lat, lng)), _spots(right, (lat, lng)), radius_km)
+    of_spot = pairs.join(there, ["la2", "ln2"]).groupBy("la", "ln").agg(F.sum("n").alias("n"))
+    placed = left.withColumns({"la": F.col(lat).cast("double"), "ln": F.col(lng).cast("double")})
+    return placed.join(of_spot, ["la", "ln"], "left").select(*(F.col(f"`{c}`") for c in left.columns), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def nearest_of_few(points: DataFrame, centres: DataFrame, centre_id: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -60,11 +101,52 @@ def nearest_of_few(points: DataFrame, centres: DataFrame, centre_id: str, lat: s
     return points.crossJoin(F.broadcast(listed)).withColumn("_best", best).drop("_centres").withColumn("nearest_id", F.col("_best.id")).withColumn("nearest_km", F.col("_best.km")).drop("_best")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius_km: float) -> DataFrame:
-    """left_key, right_key, km of the nearest right row within the radius; ties take the lower key."""
-    pairs = within_distance(left, right, radius_km)
-    best = F.min(F.struct(F.col("km"), F.col(f"r.{right_key}").alias("k")))
-    return pairs.groupBy(F.col(f"l.{left_key}").alias(left_key)).agg(best.alias("b")).select(left_key, F.col("b.k").alias(right_key), F.col("b.km").alias("km"))
+def _nearest_spots(a: DataFrame, b: DataFrame, apart: tuple[str, ...], radius_km: float) -> DataFrame:
+    """apart's columns, la, ln and the nearest (km, k) of b's spots (least key k) for each of a's, if within radius_km.
+
+    The radius grows from one that holds about one of b's spots, and only spots that found nothing go on: who finds one within
+    the radius has met all that are nearer. So a spot meets few others however many there are.
+    """
+    a, b = keep(a), keep(b)
+    box = b.groupBy(*apart).agg(F.count("*").alias("n"), F.min("la").alias("s"), F.max("la").alias("x"), F.min("ln").alias("w"), F.max("ln").alias("e"))
+    area = F.greatest(F.col("x") - F.col("s"), F.lit(0.01)) * F.greatest((F.col("e") - F.col("w")) * F.cos(F.radians((F.col("x") + F.col("s")) / 2)), F.lit(0.01))
+    dense = box.agg(F.percentile(F.sqrt(area / F.col("n")), 0.5)).first()[0]
+    radius = min(radius_km, max(0.05, (dense or 1.0) * KM_PER_DEGREE))
+    told, rest = None, a
+    key = [*apart, "la", "ln"]
+    while True:
+        probing = rest.select("*", F.explode(_cells(F.col("la"), F.col("ln"), radius, True)).alias("cell"))
+        near = probing.join(_met(b, radius), [*apart, "cell"]).withColumn("km", geo.haversine_km("la", "ln", "la2", "ln2")).where(F.col("km") <= radius)
+        found = keep(near.groupBy(*key).agg(F.min(F.struct("km", "k")).alias("b")))
+        told = found if told is None else told.union(found)
+        if radius >= radius_km:
+            return told
+        rest = keep(rest.join(found, key, "left_anti"))
+        if rest.isEmpty():
+            return told
+        radius = min(radius * 4, radius_km)
+        if radius > FAR_KM:
+            # cells this wide are no help: the few that are left meet all of theirs
+            by = F.broadcast(rest) if rest.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rest
+            met = b.select(*apart, "k", F.col("la").alias("la2"), F.col("ln").alias("ln2"))
+            near = (met.join(by, [*apart]) if apart else met.crossJoin(by)).withColumn("km", geo.haversine_km("la", "ln", "la2", "ln2")).where(F.col("km") <= radius_km)
+            return told.union(near.groupBy(*key).agg(F.min(F.struct("km", "k")).alias("b")))
+
+
+#: Radius beyond which cells are not used; half the earth's circumference, with no place farther.
+FAR_KM, HALF_ROUND_KM = 2000.0, 20100.0
+
+
+def nearest_within(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius_km: float, apart: tuple[str, ...] = (), lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """left_key, right_key, km of the nearest right row within the radius; ties take the lower key.
+
+    apart names columns that both rows must share. Rows at one place are asked and met once.
+    """
+    there = right.select(*apart, F.col(right_key).alias("k"), F.col(lat).cast("double").alias("la"), F.col(lng).cast("double").alias("ln")).where("k is not null and la is not null and ln is not null")
+    best = _nearest_spots(_spots(left, (lat, lng), apart), there.groupBy(*apart, "la", "ln").agg(F.min("k").alias("k")), apart, radius_km)
+    placed = left.select(*{left_key: 0, **dict.fromkeys(apart)}, F.col(lat).cast("double").alias("la"), F.col(lng).cast("double").alias("ln"))
+    of_key = placed.join(best, [*apart, "la", "ln"]).groupBy(left_key).agg(F.min("b").alias("b"))
+    return of_key.select(left_key, F.col("b.k").alias(right_key), F.col("b.km").alias("km"))
 
 
 def polygon_edges(polygons: DataFrame, polygon_id: str, rings: str) -> DataFrame:
