@@ -82,9 +82,8 @@ def nearest_centre(spark, sf):
 
 
 def within_parent(spark, sf):
-    """Nearest child inside the parent already assigned: an equi-join on the parent, then arg-min."""
-    p, s = places(spark, sf), sites(spark, sf).select("region_id", "site_id", F.col("lat").alias("sl"), F.col("lng").alias("sg"))
-    return p.join(s, "region_id").groupBy("place_id").agg(F.min(F.struct(geo.haversine_km("lat", "lng", "sl", "sg").alias("km"), "site_id")).alias("b")).select("place_id", F.col("b.site_id").alias("site_id"), F.round("b.km", 4).alias("km"))
+    """Nearest child inside the parent already assigned: the nearest within a growing radius among those of the same parent."""
+    return spatial.nearest_within(places(spark, sf), sites(spark, sf), "place_id", "site_id", spatial.HALF_ROUND_KM, apart=("region_id",)).withColumn("km", F.round("km", 4))
 
 
 def polygon_assignment(spark, sf):
