@@ -68,8 +68,7 @@ def place_matches(spark, sf):
 
 def near_counts(spark, sf):
     p, s = places(spark, sf), sites(spark, sf)
-    n = spatial.within_distance(p, s, 50.0).groupBy(F.col("l.place_id").alias("place_id")).agg(F.count("*").alias("n"))
-    return p.join(n, "place_id", "left").select("place_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("any"))
+    return spatial.counts_within(p, s, 50.0).select("place_id", "n", (F.col("n") > 0).alias("any"))
 
 
 def nearest_site(spark, sf):
