@@ -1,15 +1,16 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash can't be cut at that similarity: such texts differ by up to 13 of 64 bits and
+SimHash fingerprints linked through BK-trees (`simhash.py`, 4 bits at most) tell first which texts go together; each
+text of such a group is held against the group's first one by the exact sets, which joins a large group of copies by
+one pair a text. SimHash can't be cut at this similarity: such texts differ by up to 13 of 64 bits and
 more, and blocks of the word that 13 flips leave alone have four bits, so that each
-shard would hold a 256th of the corpus. Here every distinct text is sent to BANDS
+shard would hold a 256th of the corpus. What it leaves apart is therefore sent to BANDS
 shards, each told by BAND_ROWS minima of permuted shingle hashes. Two texts at 0.8
 miss each other in all shards with probability (1 - 0.8**3)**30 = 5e-10.
 
-Every link is confirmed by the exact similarity of both sets. A shard first compares
-all members with one of them (STARS times, another one each time), which joins a large
-group of copies without its square of pairs; shards whose members are in different
-components after that compare all pairs across components. So each pair that shares a
+Every link is confirmed by the exact similarity of both sets. A shard whose members are in one component is done. The others
+first compare all members with one of them (STARS times, another one each time), unless both are in one
+component; shards whose members are in different components after that compare all pairs across components. So each pair that shares a
 shard is compared or known to be connected.
 
 Defined cases: null text counts as empty; texts without words have the same one-element
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.durable import cut, keep
 from ..operators.graph import connected_components
 from .batches import map_batches, texts_of
-from .simhash import shingle_hashes
+from .simhash import fingerprint, near_links, shingle_hashes
 
 WIDTH = 5
 LIKENESS = 0.8
@@ -61,15 +62,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """t (text's hash), n (shingles), keys (shards) of each distinct text."""
+    """t (text's hash), n (shingles), fp (SimHash fingerprint), keys (shards) of each distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t) for t in texts_of(batch.column(1))]
+            texts = list(texts_of(batch.column(1)))
+            sets = [shingle_set(t) for t in texts]
+            fps = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), keys], names=["t", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), fps, keys], names=["t", "n", "fp", "keys"])
 
-    return map_batches(_texts(docs), run, "t long, n long, keys array<long>").groupBy("t").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    return map_batches(_texts(docs), run, "t long, n long, fp long, keys array<long>").groupBy("t").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -94,33 +97,51 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(both >= LIKENESS * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links, "a", "b").select(F.col("id").alias("t"), F.col("component").alias("g")).distinct()
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """The rows of shards whose members are in different groups."""
+    several = named.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("s")
+    return cut(named.join(several, "s"))
+
+
+def _simhash_pairs(sketched: DataFrame) -> DataFrame:
+    """(a, b): each text of a group of linked fingerprints and the group's first text."""
+    links = near_links(sketched.select("fp").distinct())
+    group = connected_components(links, "a", "b").select(F.col("id").alias("fp"), "component").distinct()
+    named = sketched.select("t", "n", "fp").join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp")).drop("fp")
+    first = named.groupBy("component").agg(F.min(F.struct("t", "n")).alias("c"), F.count("*").alias("texts")).where("texts > 1")
+    met = named.join(first, "component").where((F.col("t") != F.col("c.t")) & _alike("n", "c.n"))
+    return met.select(F.least("t", "c.t").alias("a"), F.greatest("t", "c.t").alias("b"))
+
+
 def text_groups(docs: DataFrame) -> DataFrame:
     """t (xxhash64 of the text), g (the group's least t) of every distinct text."""
     sketched = keep(_sketched(docs))
+    pairs = cut(_simhash_pairs(sketched))
     rows = sketched.select(F.explode("keys").alias("s"), "t", "n")
     shards = rows.groupBy("s").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("t")).alias("x"), F.min("t").alias("m")).where("c > 1")
     # of shards with the same members one is enough
     shards = shards.groupBy("c", "x", "m").agg(F.min("s").alias("s")).select("s")
     left = cut(rows.join(shards, "s"))
-    sets = keep(_sets(_texts(docs).join(left.select("t").distinct(), "t").dropDuplicates(["t"])))
-    links, groups = None, None
+    wanted = left.select("t").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = keep(_sets(_texts(docs).join(wanted, "t").dropDuplicates(["t"])))
+    links = cut(_confirmed(pairs, sets))
+    groups = _components(links)
     for star in range(STARS + 1):
+        left = _open(left.select("s", "t", "n").join(groups, "t", "left").withColumn("g", F.coalesce("g", "t")))
+        if left.isEmpty():
+            break
         if star < STARS:
-            centre = left.groupBy("s").agg(F.min(F.struct(F.xxhash64(F.lit(star), "t"), "t", "n", "g") if groups else F.struct(F.xxhash64(F.lit(star), "t"), "t", "n")).alias("c"))
-            met = left.join(centre, "s").where((F.col("t") != F.col("c.t")) & _alike("n", "c.n"))
-            pairs = (met.where("g <> c.g") if groups else met).select(F.least("t", "c.t").alias("a"), F.greatest("t", "c.t").alias("b"))
-            rest = left.join(centre, "s").where("t <> c.t").select("s", "t", "n")
+            centre = left.groupBy("s").agg(F.min(F.struct(F.xxhash64(F.lit(star), "t"), "t", "n", "g")).alias("c"))
+            met = left.join(centre, "s").where((F.col("g") != F.col("c.g")) & _alike("n", "c.n"))
+            pairs = met.select(F.least("t", "c.t").alias("a"), F.greatest("t", "c.t").alias("b"))
+            left = left.join(centre, "s").where("t <> c.t").drop("c")
         else:
             other = left.select("s", F.col("t").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
             pairs = left.withColumnRenamed("t", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("g") != F.col("h")) & _alike("n", "m")).select("a", "b")
-        found = _confirmed(pairs.distinct(), sets)
-        links = cut(found if links is None else found.union(links))
-        groups = connected_components(links, "a", "b").select(F.col("id").alias("t"), F.col("component").alias("g")).distinct()
-        if star == STARS:
-            break
-        named = rest.join(groups, "t", "left").withColumn("g", F.coalesce("g", "t"))
-        open_ = named.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("s")
-        left = cut(named.join(open_, "s"))
-        if left.isEmpty():
-            break
+        links = cut(_confirmed(pairs.distinct(), sets).union(links))
+        groups = _components(links)
     return sketched.select("t").join(groups, "t", "left").select("t", F.coalesce("g", "t").alias("g"))

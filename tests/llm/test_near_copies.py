@@ -44,3 +44,15 @@ def test_stage_matches_a_brute_force_join(spark):
     want = brute(docs)
     assert len(want) < len(docs) * 0.8
     assert sorted(map(tuple, found)) == want
+
+
+def test_simhash_tells_close_copies_by_one_pair_a_text(spark):
+    from lumenframe.llm import near_copies
+
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(5000)}" for _ in range(3000)]
+    close = [" ".join(base[:k] + ["new"] + base[k:]) for k in range(0, 3000, 100)]
+    other = [" ".join(f"v{draw.randrange(5000)}" for _ in range(300)) for _ in range(20)]
+    sketched = near_copies._sketched(spark.createDataFrame(list(enumerate(close + other)), SCHEMA)).cache()
+    pairs = [tuple(r) for r in near_copies._simhash_pairs(sketched).collect()]
+    assert len(pairs) == len(close) - 1 and len({t for p in pairs for t in p}) == len(close)
