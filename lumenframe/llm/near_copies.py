@@ -10,8 +10,11 @@ miss each other in all shards with probability (1 - 0.8**3)**30 = 5e-10.
 
 Every link is confirmed by the exact similarity of both sets. A shard whose members are in one component is done. The others
 first compare all members with one of them (STARS times, another one each time), unless both are in one
-component; shards whose members are in different components after that compare all pairs across components. So each pair that shares a
-shard is compared or known to be connected.
+component. Of the texts in shards whose members are in different components after that, every pair across components that can
+still reach the similarity is compared: two such texts share one of their rarest shingles (a prefix of each, in one order
+for all), far enough ahead in both. A shingle that one component alone holds is in no set shared across components, so
+a text with too many of them is left out, and what is compared are the others. So each pair that shares a shard is
+compared, known to be connected or shown to be below the similarity; texts on one passage meet by their own words, not by it.
 
 Defined cases: null text counts as empty; texts without words have the same one-element
 set; fewer words than a shingle give one shingle of them all; equal texts are one vertex.
@@ -76,12 +79,14 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
+    """t, n (shingles), shingles of texts (t, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t).view(np.int64) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["t", "n", "shingles"])
 
-    return map_batches(texts, run, "t long, shingles array<long>")
+    return map_batches(texts, run, "t long, n long, shingles array<long>")
 
 
 def _alike(a: str, b: str) -> F.Column:
@@ -90,11 +95,11 @@ def _alike(a: str, b: str) -> F.Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the likeness."""
-    one = sets.select(F.col("t").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("t").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b) whose sets reach the likeness. sets: t, n (size of the set), shingles (those that can be in both, at least)."""
+    one = sets.select(F.col("t").alias("a"), F.col("n").alias("p"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("t").alias("b"), F.col("n").alias("q"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(both >= LIKENESS * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(both >= LIKENESS * (F.col("p") + F.col("q") - both)).select("a", "b")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -117,6 +122,26 @@ def _simhash_pairs(sketched: DataFrame) -> DataFrame:
     return met.select(F.least("t", "c.t").alias("a"), F.greatest("t", "c.t").alias("b"))
 
 
+def _across(texts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of texts (t, g) of different groups that can reach the likeness, and the sets to confirm them by.
+
+    In one order of all shingles, rarest first, two sets of n and m at the likeness share at least L / (1 + L) * (n + m)
+    shingles; so the first they share has that many left, itself included, in both, and stands among the first n - L * n.
+    """
+    rows = texts.join(sets, "t").select("t", "g", F.explode("shingles").alias("x"))
+    shared = rows.groupBy("x").agg(F.count("*").alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("x", "c")
+    ordered = rows.join(shared, "x").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "x")))["x"].alias("shingles"))
+    # those of one group alone come before all others; a text may have so many places for the first shared one
+    room = F.floor(F.col("n") * (1 - LIKENESS) + 1e-6) + 1 - (F.col("n") - F.size("shingles"))
+    own = keep(texts.join(sets.select("t", "n"), "t").join(ordered, "t").withColumn("room", room.cast("int")).where("room > 0"))
+    first = own.select("t", "g", "n", F.size("shingles").alias("shared"), F.posexplode(F.slice("shingles", 1, F.col("room"))).alias("k", "x"))
+    first = first.select("x", "t", "g", "n", (F.col("shared") - F.col("k")).alias("left"))
+    one, two = (first.select("x", *(F.col(c).alias(c + side) for c in ("t", "g", "n", "left"))) for side in "12")
+    enough = F.least("left1", "left2") * (1 + LIKENESS) >= LIKENESS * (F.col("n1") + F.col("n2")) - 1e-6
+    pairs = one.join(two, "x").where((F.col("t1") < F.col("t2")) & (F.col("g1") != F.col("g2")) & enough)
+    return pairs.select(F.col("t1").alias("a"), F.col("t2").alias("b")).distinct(), own.select("t", "n", "shingles")
+
+
 def text_groups(docs: DataFrame) -> DataFrame:
     """t (xxhash64 of the text), g (the group's least t) of every distinct text."""
     sketched = keep(_sketched(docs))
@@ -139,9 +164,9 @@ def text_groups(docs: DataFrame) -> DataFrame:
             met = left.join(centre, "s").where((F.col("g") != F.col("c.g")) & _alike("n", "c.n"))
             pairs = met.select(F.least("t", "c.t").alias("a"), F.greatest("t", "c.t").alias("b"))
             left = left.join(centre, "s").where("t <> c.t").drop("c")
+            found = _confirmed(pairs.distinct(), sets)
         else:
-            other = left.select("s", F.col("t").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
-            pairs = left.withColumnRenamed("t", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("g") != F.col("h")) & _alike("n", "m")).select("a", "b")
-        links = cut(_confirmed(pairs.distinct(), sets).union(links))
+            found = _confirmed(*_across(left.select("t", "g").distinct(), sets))
+        links = cut(found.union(links))
         groups = _components(links)
     return sketched.select("t").join(groups, "t", "left").select("t", F.coalesce("g", "t").alias("g"))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string"
 
@@ -56,3 +57,24 @@ def test_simhash_tells_close_copies_by_one_pair_a_text(spark):
     sketched = near_copies._sketched(spark.createDataFrame(list(enumerate(close + other)), SCHEMA)).cache()
     pairs = [tuple(r) for r in near_copies._simhash_pairs(sketched).collect()]
     assert len(pairs) == len(close) - 1 and len({t for p in pairs for t in p}) == len(close)
+
+
+def test_texts_on_one_passage_meet_by_their_own_words(spark):
+    from lumenframe.llm import near_copies
+
+    draw = random.Random(11)
+    passage = [f"p{n}" for n in range(90)]
+    texts = [" ".join(passage + [f"own{k}x{n}" for n in range(40)]) for k in range(120)]  # about 0.5 alike
+    for k in range(0, 20, 2):  # 0.8 alike or somewhat below
+        words = texts[k].split()
+        texts.append(" ".join(edited(draw, words, 2 + k // 8)))
+    rows = [(t, t, len(near_copies.shingle_set(text)), [int(x) for x in near_copies.shingle_set(text).view("int64")]) for t, text in enumerate(texts)]
+    sets = spark.createDataFrame([(t, n, s) for t, _, n, s in rows], "t long, n long, shingles array<long>").cache()
+    pairs, own = near_copies._across(sets.select("t", F.col("t").alias("g")), sets)
+    whole = {t: set(s) for t, _, _, s in rows}
+    want = {(a, b) for a in whole for b in whole if a < b and len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])}
+    assert len(want) >= 5
+    assert {tuple(r) for r in near_copies._confirmed(pairs, own).collect()} == want
+    assert pairs.count() <= 20  # all pairs across groups are 8,385
+    joined = near_copies._across(sets.select("t", F.lit(0).alias("g")), sets)[0]
+    assert joined.isEmpty()
