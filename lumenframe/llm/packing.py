@@ -46,6 +46,8 @@ BATCH_ROWS = 1024
 OUT_TOKENS = 1 << 19
 #: Separators that str.split() knows and the tokenizer doesn't.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
+#: Up to here lower case is one to one and letters are composed.
+COMPOSED = "\u0130"
 #: Marks that form a token run of their own behind a letter.
 MARKS = '.,!?;:#$%&*"'
 
@@ -57,9 +59,9 @@ class WordEncoder:
     """Ids of whole texts by a whitespace-dropping tokenizer, looked up word by word.
 
     The tokenizer never lets a token cross white space, so the ids of a text are
-    those of its words; each distinct word is encoded by the library once. A run of
-    marks behind a letter is cut off as a token run of its own and lower-casing is
-    part of the normaliser, so "Word!!" is put together from "word" and "!!". A word
+    those of its words. A run of marks behind a letter is cut off as a token run of its
+    own and lower-casing is part of the normaliser, so "Word!!" is put together from
+    "word" and "!!"; each distinct one of these is encoded by the library once. A word
     of letters only is one run, which goes to the merges without the passes before.
     """
 
@@ -82,54 +84,47 @@ class WordEncoder:
     def _agrees(self) -> bool:
         """Whether this tokenizer file works as the shortcuts assume; another one is asked for each whole text instead."""
         self.as_assumed = True
-        self.learn(list(self.PROBES))
-        line = " ".join(self.PROBES) + "\t" + "\n ".join(self.PROBES)
-        whole = self._library(self.PROBES) + self._library([line])
-        return whole[:-1] == [self.words[w] for w in self.PROBES] and whole[-1] == b"".join(self.words[w] for w in self.PROBES) * 2
+        probes = [*self.PROBES, " ".join(self.PROBES) + "\t" + "\n ".join(self.PROBES)]
+        return self.encode(pa.array(probes)) == self._library(probes)
 
     @staticmethod
     def _spelt(word: str) -> str:
         """A word in the byte alphabet of the merges."""
         return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
 
-    def _known(self, word: str) -> bool:
-        """Whether the word's ids are at hand; those of older words are taken over."""
-        if word not in self.words and (ids := self.older.get(word)) is not None:
-            self._put(word, ids)
-        return word in self.words
+    @staticmethod
+    def _parted(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """What is looked up of each word, and the marks cut off behind it."""
+        simple = pc.invert(pc.match_substring_regex(words, rf"[^\x{{0}}-\x{{{ord(COMPOSED) - 1:x}}}]"))
+        bare = pc.utf8_rtrim(words, MARKS)
+        stems = pc.if_else(pc.and_(simple, pc.match_substring_regex(bare, r"\pL$")), bare, words)
+        off = pc.subtract(pc.binary_length(words), pc.binary_length(stems))  # a mark is one byte
+        marks = pc.if_else(pc.equal(off, 1), pc.utf8_slice_codeunits(words, -1), "")
+        several = pc.greater(off, 1)
+        runs = [w[-n:] for w, n in zip(words.filter(several).to_pylist(), off.filter(several).to_pylist())]
+        marks = pc.replace_with_mask(marks, several, pa.array(runs, words.type))
+        # special tokens are matched as written
+        return pc.if_else(pc.and_(simple, pc.invert(pc.match_substring(stems, "<|"))), pc.utf8_lower(stems), stems), marks
 
     def _put(self, word: str, ids: bytes) -> None:
         self.words[word] = ids
         self.bytes += WORD_BYTES + len(word) + len(ids)
 
     def learn(self, new: list[str]) -> None:
-        words, parts, need, letters = self.words, [], set(), set()
+        """Ids of parts of words (as of _parted) that aren't at hand; those of older ones are taken over."""
+        letters, others = [], []
         for word in new:
-            if self._known(word):
-                continue
-            stem = word.rstrip(MARKS)
-            simple = max(word) < "\u0130"  # up to here lower case is one to one and letters are composed
-            if not simple or not stem[-1:].isalpha():
-                stem = word
-            marks = word[len(stem) :]
-            if simple and "<|" not in stem:  # special tokens are matched as written
-                stem = stem.lower()
-            if stem != word:
-                parts.append((word, stem, marks))
-                if marks and not self._known(marks):
-                    need.add(marks)
-            if not self._known(stem):
-                (letters if simple and stem.isalpha() else need).add(stem)
-        need, letters = list(need), list(letters)
-        for word, ids in zip([*need, *letters], self._library(need) + self._library([self._spelt(w) for w in letters], only_merge=True)):
+            if (ids := self.older.get(word)) is not None:
+                self._put(word, ids)
+            else:
+                (letters if word.isalpha() and max(word) < COMPOSED else others).append(word)
+        for word, ids in zip([*others, *letters], self._library(others) + self._library([self._spelt(w) for w in letters], only_merge=True)):
             self._put(word, ids)
-        for word, stem, marks in parts:
-            self._put(word, words[stem] + words[marks] if marks else words[stem])
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
 
-        Arrow splits the texts, finds the distinct words and puts their ids in place; only distinct words become Python strings.
+        Arrow splits the texts, parts the distinct words and puts their ids in place; only distinct parts become Python strings.
         """
         odd = pc.match_substring_regex(texts, f"[{NOT_WHITE}]")
         if pc.any(odd).as_py():
@@ -140,14 +135,18 @@ class WordEncoder:
             self.words, self.older, self.bytes = {"": b""}, self.words, 0
         split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        parts = pa.concat_arrays(self._parted(coded.dictionary)).dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
         found = list(map(self.words.get, distinct))
         if new := [w for w, b in zip(distinct, found) if b is None]:
             self.learn(new)
             found = list(map(self.words.__getitem__, distinct))
         ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
         known = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4")))
-        put = known.take(coded.indices)
+        # a word's ids are those of its two parts, one behind the other
+        both = known.take(pa.array(parts.indices.to_numpy().reshape(2, -1).T.ravel()))
+        words = pa.LargeListArray.from_arrays(pa.array(both.offsets.to_numpy()[::2]), both.values)
+        put = words.take(coded.indices)
         at = put.offsets.to_numpy()[split.offsets.to_numpy()].tolist()
         ids = put.values.to_numpy()
         return [ids[i:j].tobytes() for i, j in zip(at, at[1:])]

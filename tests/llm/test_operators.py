@@ -287,3 +287,13 @@ def test_pipeline_keeps_its_promises(spark):
     for r in packed:
         by_doc[r["doc_id"]] += r["length"]
     assert all(by_doc[r["doc_id"]] == r["doc_tokens"] for r in packed)
+
+
+def test_forms_of_a_word_are_kept_once():
+    import pyarrow as pa
+
+    encoder = packing.WordEncoder(queries.tokenizer_file("word_bpe_49k.json"))
+    before = set(encoder.words)
+    texts = ["Zorvek zorvek! ZORVEK?! zorvek, Zorvek..."]
+    assert encoder.encode(pa.array(texts)) == encoder._library(texts)
+    assert {w for w in set(encoder.words) - before if w[0].isalpha()} == {"zorvek"}
