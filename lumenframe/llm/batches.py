@@ -33,10 +33,17 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows with the columns of their group (keys, c rows, more); groups of over total / HOT rows, HOT at most, by broadcast."""
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, hint: str | None = None) -> DataFrame:
+    """rows with the columns of their group (keys, c rows, more); groups of over total / HOT rows, HOT at most, by broadcast.
+
+    hint: how the other groups are joined; with shuffle_hash a task hashes its share of them and sorts no rows.
+    """
+
+    def hinted(groups: DataFrame) -> DataFrame:
+        return groups.hint(hint) if hint else groups
+
     large = groups.where(F.col("c") * HOT > total)
     if large.isEmpty():
-        return rows.join(groups.drop("c"), keys)
-    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.where(F.col("c") * HOT <= total).drop("c"), keys)
+        return rows.join(hinted(groups.drop("c")), keys)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(hinted(groups.where(F.col("c") * HOT <= total).drop("c")), keys)
     return rows.join(F.broadcast(large.drop("c")), keys).unionByName(rest)

@@ -48,6 +48,14 @@ def _words(line: Column, odd: Column) -> Column:
     return F.when(odd, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(spaces + 1)
 
 
+def _trimmed(line: Column) -> Column:
+    """A line without white space at its ends; few have any, and trimming takes apart all characters of a line."""
+    ends = F.lit(False)
+    for mark in "\n \t\r\x0b\x0c":
+        ends = ends | F.startswith(line, F.lit(mark)) | F.endswith(line, F.lit(mark))
+    return F.when(ends, F.trim(line, F.lit(" \t\n\x0b\x0c\r"))).otherwise(line)
+
+
 def _key(text: Column) -> list[Column]:
     """A document's order and identity; a null id is the digest of its text below all ids from 0 on."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)))).alias("d"), F.hash(text).alias("h")]
@@ -61,7 +69,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         odd = odd | F.contains(text, F.lit(mark))
     # what a document has once is computed below the explode; outer: a split is never empty, and no filter on its size makes Spark cut the text twice
     once = docs.where(text.isNotNull()).select(*_key(text), odd.alias("odd"), F.split(text, BREAK).alias("lines"))
-    lines = once.select("d", "h", "odd", F.posexplode_outer("lines").alias("i", "line")).withColumn("line", F.trim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
+    lines = once.select("d", "h", "odd", F.posexplode_outer("lines").alias("i", "line")).withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
     return lines.select("d", "h", "i", _words(F.col("line"), F.col("odd")).alias("words"), F.xxhash64("line").alias("x"), F.hash("line").alias("y"))
 
 
@@ -75,9 +83,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     fore and back: lines of the shortest stretch of min_words words that starts or ends here (0: none); deep and flat: the most and the least of them among the neighbours.
     """
-    lines = keep(lines_of(docs))
+    lines = keep(lines_of(docs), distinct=("x", "y"))
     ranked = _ranked(lines.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1"), "x", "y")
-    again = join_groups(lines, ranked, ["x", "y"], lines.count()).select("d", "h", "i", "words", "rank")
+    again = join_groups(lines, ranked, ["x", "y"], lines.count(), "shuffle_hash").select("d", "h", "i", "words", "rank")
     once = again.repartition("d", "h").dropDuplicates(["d", "h", "i"])
     return keep(_stretched(once, min_words))
 
@@ -115,7 +123,7 @@ def depths(places: DataFrame) -> DataFrame:
             return found
         pairs = keep(deeper.select("d", "h", "i", "deep", "flat", F.col("rank").alias("r1"), F.first("rank").over(here).alias("r2")).where("r2 is not null"))
         classes = _ranked(pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1"), "r1", "r2")
-        ranks = keep(join_groups(pairs, classes, ["r1", "r2"], pairs.count()).select("d", "h", "i", "rank", "deep", "flat"))
+        ranks = keep(join_groups(pairs, classes, ["r1", "r2"], pairs.count(), "shuffle_hash").select("d", "h", "i", "rank", "deep", "flat"))
         k += 1
 
 
@@ -127,10 +135,11 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wanted = places.select("d", "h", F.explode(both).alias("s")).select("d", "h", "s.i", "s.n").where("n > 0").distinct()
     # a stretch of 2^k to 2^(k+1) - 1 lines: the ranks of its first and last 2^k lines, which cover it, tell it
     wanted = wanted.withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")).withColumn("j", F.expr("i + n - shiftleft(1, k)"))
-    first = wanted.join(ranks.withColumnRenamed("rank", "r1"), ["k", "d", "h", "i"])
-    told = keep(first.join(ranks.select("k", "d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["k", "d", "h", "j"]).select("d", "h", "i", "n", "r1", "r2"))
+    # places are dealt evenly, so a task's share of them is hashed; neither side is sorted
+    first = ranks.withColumnRenamed("rank", "r1").join(wanted.hint("shuffle_hash"), ["k", "d", "h", "i"])
+    told = keep(first.hint("shuffle_hash").join(ranks.select("k", "d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["k", "d", "h", "j"]).select("d", "h", "i", "n", "r1", "r2"))
     groups = told.groupBy("n", "r1", "r2").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "i")).alias("first")).where("c > 1")
-    later = join_groups(told, keep(groups), ["n", "r1", "r2"], told.count()).where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
+    later = join_groups(told, keep(groups), ["n", "r1", "r2"], told.count(), "shuffle_hash").where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
     return later.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1))))).alias("cut_lines"))
 
 
@@ -161,7 +170,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def with_cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """row (a struct of docs' columns, text as remove_repeats leaves it) and cut_lines (places of the deleted lines; null for none)."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_key(F.col("text").cast("string")))
-    joined = whole.join(deleted_lines(docs, min_words), ["d", "h"], "left")
+    joined = whole.join(deleted_lines(docs, min_words).hint("shuffle_hash"), ["d", "h"], "left")  # texts aren't sorted
     old = F.col("row")["text"].cast("string")
     text = F.when(F.col("cut_lines").isNotNull(), remaining(old, F.col("cut_lines"))).otherwise(old)
     return joined.select(F.struct(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns)).alias("row"), "cut_lines")

@@ -27,8 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written once as a Parquet table in the shared folder and read from there: more compact than a checkpoint, columns can be pruned."""
+def keep(df: DataFrame, distinct: tuple[str, ...] = ()) -> DataFrame:
+    """df written once as a Parquet table in the shared folder and read from there: more compact than a checkpoint, columns can be pruned.
+
+    distinct: columns whose values hardly repeat, as digests; no dictionary is tried for them.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in distinct}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -81,3 +81,16 @@ def test_clashing_names_repeats_and_null_ids(spark):
     assert found[0].asDict().keys() == set(frame.columns)
     # the null id comes first and keeps the passage
     assert [r["text"] for r in found] == ["", "", "", passage, None] and [r["cut_lines"] for r in found] == ["r", "s", None, "t", "u"]
+
+
+def test_lines_and_texts_are_not_sorted(spark):
+    """Joins of places and of texts hash the smaller side; trimming gives the lines' own digests."""
+    from lumenframe.llm import line_runs
+
+    passage = " ".join(f"w{n}" for n in range(60))
+    rows = [(1, f"\t {passage} \x0b\nown one"), (2, f"own two\n{passage}"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = line_runs.with_cuts(docs)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["row"]["doc_id"]: r["row"]["text"] for r in cut.collect()} == {1: rows[0][1], 2: "own two", 3: None, 4: ""}
