@@ -6,8 +6,8 @@ it holds whole; white space behind a cut belongs to it. These units are called l
 below. A line that occurs once can be in no repeated run, so only repeated lines get a
 rank: their place in the sorted order of digests. Prefix doubling then ranks blocks of
 2, 4, 8, ... lines by the pair of ranks of their halves, each time keeping only the
-pairs that occur again; ranks come from a range-partitioned sort of the distinct pairs,
-never from one task. Suffixes of equal rank at a depth are a longest-common-prefix
+pairs that occur again; ranks come from a range-partitioned sort of the distinct pairs
+(of the digests: from sorts within ranges of equal width, as they are spread evenly), never from one task. Suffixes of equal rank at a depth are a longest-common-prefix
 interval: the places of one repeated run.
 
 A run counts when it holds `min_words` words (1: any repeated line). Every longest
@@ -37,6 +37,8 @@ from ..operators.durable import keep
 from .batches import join_groups
 
 MIN_WORDS = 50
+#: Bits of a digest that tell its range.
+RANGE_BITS = 12
 WHITE = r"[\x20\x09-\x0D]"
 #: What stands between two lines: a line break or the space behind a sentence, with the white space after it.
 BREAK = rf"[\n\x20](?<=\n|[^.!?][.!?]\x20){WHITE}*"
@@ -74,8 +76,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(groups: DataFrame, *order: str) -> DataFrame:
-    """groups with a rank that rises in the given order: sorted by range, numbered where each range lies, then kept."""
-    return keep(groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
+    """groups with a rank that rises in the given order: sorted by range, numbered where each range lies, then kept.
+
+    The groups are kept first: finding the ranges reads them once more.
+    """
+    return keep(keep(groups).orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
+
+
+def _ranked_digests(groups: DataFrame) -> DataFrame:
+    """groups with a rank that rises with x, y. Digests are spread evenly, so their first bits tell ranges that needn't be found."""
+    part = F.shiftright("x", 64 - RANGE_BITS)
+    within = F.row_number().over(Window.partitionBy("part").orderBy("x", "y"))
+    rank = F.shiftleft(F.col("part") + (1 << (RANGE_BITS - 1)), 40) + within
+    return keep(groups.withColumn("part", part).withColumn("rank", rank).drop("part"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -84,26 +97,27 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     fore and back: lines of the shortest stretch of min_words words that starts or ends here (0: none); deep and flat: the most and the least of them among the neighbours.
     """
     lines = keep(lines_of(docs), distinct=("x", "y"))
-    ranked = _ranked(lines.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1"), "x", "y")
+    ranked = _ranked_digests(lines.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1"))
     again = join_groups(lines, ranked, ["x", "y"], lines.count(), "shuffle_hash").select("d", "h", "i", "words", "rank")
-    once = again.repartition("d", "h").dropDuplicates(["d", "h", "i"])
-    return keep(_stretched(once, min_words))
+    return keep(_stretched(again, min_words))
 
 
 def _stretched(places: DataFrame, min_words: int) -> DataFrame:
-    """Stretches by running word counts: all windows share the documents' partitioning."""
+    """Stretches by running word counts: all windows share the documents' partitioning, and all but two their sort orders."""
     doc = Window.partitionBy("d", "h").orderBy("i")
-    # neighbours have the same difference of place and row number
-    rows = places.withColumn("island", F.col("i") - F.row_number().over(doc))
+    # a place that comes again belongs to a row of the table that comes again
+    once = places.withColumns({"last": F.lag("i").over(doc), "at": F.dense_rank().over(doc)}).where("last is null or last <> i")
+    # neighbours have the same difference of place and number; counts rise along the document, so they order places as i does
+    rows = once.select("d", "h", "i", "words", "rank", (F.col("i") - F.col("at")).alias("island"), F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    rows = rows.withColumn("before", F.col("upto") - F.col("words")).sortWithinPartitions("d", "h", "island", "before")
     island = Window.partitionBy("d", "h", "island")
-    summed = rows.withColumns({"upto": F.sum("words").over(island.orderBy("i")), "all": F.sum("words").over(island), "head": F.min("i").over(island)}).where(F.col("all") >= min_words)
-    summed = summed.withColumn("before", F.col("upto") - F.col("words"))
+    summed = rows.withColumns({"all": F.sum("words").over(island), "head": F.min("i").over(island)}).where(F.col("all") >= min_words)
     # the last line that starts less than min_words words from here, and the last that ends min_words words before this one's end
-    stop = F.max(F.struct("i", "upto")).over(island.orderBy("before").rangeBetween(Window.unboundedPreceding, min_words - 1))
+    ahead = island.orderBy("before").rangeBetween(Window.unboundedPreceding, min_words - 1)
     start = F.max("i").over(island.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words))
-    both = summed.withColumns({"stop": stop, "start": start})
-    fore = F.when(F.col("stop.upto") - F.col("before") >= min_words, F.col("stop.i") - F.col("i") + 1).otherwise(0)
-    back = F.when(F.col("upto") >= min_words, F.col("i") - F.coalesce(F.col("start") + 1, F.col("head")) + 1).otherwise(0)
+    both = summed.withColumns({"stop": F.max("i").over(ahead), "stop_upto": F.max("upto").over(ahead), "first": F.min("before").over(ahead)}).withColumn("start", start)
+    fore = F.when(F.col("stop_upto") - F.col("before") >= min_words, F.col("stop") - F.col("i") + 1).otherwise(0)
+    back = F.when(F.col("upto") - F.col("first") >= min_words, F.col("i") - F.coalesce(F.col("start") + 1, F.col("head")) + 1).otherwise(0)
     told = both.select("d", "h", "island", "i", "rank", fore.alias("fore"), back.alias("back"))
     least = F.least(*(F.when(F.col(n) > 0, F.col(n)) for n in ("fore", "back")))
     return told.withColumns({"deep": F.max(F.greatest("fore", "back")).over(island), "flat": F.min(least).over(island)}).drop("island")
@@ -135,12 +149,18 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wanted = places.select("d", "h", F.explode(both).alias("s")).select("d", "h", "s.i", "s.n").where("n > 0").distinct()
     # a stretch of 2^k to 2^(k+1) - 1 lines: the ranks of its first and last 2^k lines, which cover it, tell it
     wanted = wanted.withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")).withColumn("j", F.expr("i + n - shiftleft(1, k)"))
-    # places are dealt evenly, so a task's share of them is hashed; neither side is sorted
+    # places are dealt evenly, so a task's share of them is hashed; neither side is sorted, and the ranks are dealt once for both joins
+    ranks = ranks.repartition("k", "d", "h", "i")
     first = ranks.withColumnRenamed("rank", "r1").join(wanted.hint("shuffle_hash"), ["k", "d", "h", "i"])
     told = keep(first.hint("shuffle_hash").join(ranks.select("k", "d", "h", F.col("i").alias("j"), F.col("rank").alias("r2")), ["k", "d", "h", "j"]).select("d", "h", "i", "n", "r1", "r2"))
     groups = told.groupBy("n", "r1", "r2").agg(F.count("*").alias("c"), F.min(F.struct("d", "h", "i")).alias("first")).where("c > 1")
     later = join_groups(told, keep(groups), ["n", "r1", "r2"], told.count(), "shuffle_hash").where(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
-    return later.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1))))).alias("cut_lines"))
+    # a stretch as one long, its first line and its length; collected as such
+    stretch = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    sets = later.groupBy("d", "h").agg(F.collect_set(stretch).alias("stretches"))
+    first, length = (lambda s: F.shiftright(s, 32).cast("int")), (lambda s: s.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    lines = F.flatten(F.transform("stretches", lambda s: F.sequence(first(s), first(s) + length(s) - 1)))
+    return sets.select("d", "h", F.sort_array(F.array_distinct(lines)).alias("cut_lines"))
 
 
 def remaining(text: Column, gone: Column) -> Column:

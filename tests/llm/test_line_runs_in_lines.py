@@ -94,3 +94,23 @@ def test_lines_and_texts_are_not_sorted(spark):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert {r["row"]["doc_id"]: r["row"]["text"] for r in cut.collect()} == {1: rows[0][1], 2: "own two", 3: None, 4: ""}
+
+
+def test_stretches_share_sorts_and_ranks_are_dealt_once(spark):
+    draw = random.Random(9)
+    lines = [f"{'w ' * draw.randrange(1, 9)}l{n}" for n in range(30)]
+    docs = spark.createDataFrame([(d, "\n".join(draw.choice(lines) for _ in range(20))) for d in range(60)] + [(7, "\n".join(lines))] * 3, "doc_id long, text string")
+    places = line_runs.lines_of(docs).selectExpr("d", "h", "i", "words", "x as rank")
+    stretched = line_runs._stretched(places, 12)
+    rows = stretched.collect()
+    assert len(rows) == len({(r["d"], r["h"], r["i"]) for r in rows}) > 500
+    plan = stretched._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "Aggregate" not in plan and plan.count("Sort [") <= 3
+
+    deleted = line_runs.deleted_lines(docs, 12)
+    assert deleted.count() > 30
+    assert {r["d"]: r["cut_lines"] for r in deleted.collect()}.keys() >= {7}
+    # digests' ranks rise with the digests without a pass that finds ranges
+    groups = line_runs.lines_of(docs).groupBy("x", "y").count().withColumnRenamed("count", "c")
+    ranked = sorted((r["x"], r["y"], r["rank"]) for r in line_runs._ranked_digests(groups).collect())
+    assert [r[2] for r in ranked] == sorted({r[2] for r in ranked}) and len(ranked) == 30
