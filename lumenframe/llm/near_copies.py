@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.durable import cut, keep
+from ..operators.durable import cut, gathered, keep
 from ..operators.graph import connected_components
 from .batches import map_batches, texts_of
 from .simhash import fingerprint, near_links, shingle_hashes
@@ -103,19 +103,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    return connected_components(links, "a", "b").select(F.col("id").alias("t"), F.col("component").alias("g")).distinct()
+    return connected_components(links, "a", "b").select(F.col("id").alias("t"), F.col("component").alias("g"))
 
 
 def _open(named: DataFrame) -> DataFrame:
     """The rows of shards whose members are in different groups."""
     several = named.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("s")
-    return cut(named.join(several, "s"))
+    return gathered(named.join(several, "s"))
 
 
 def _simhash_pairs(sketched: DataFrame) -> DataFrame:
     """(a, b): each text of a group of linked fingerprints and the group's first text."""
     links = near_links(sketched.select("fp").distinct())
-    group = connected_components(links, "a", "b").select(F.col("id").alias("fp"), "component").distinct()
+    group = connected_components(links, "a", "b").select(F.col("id").alias("fp"), "component")
     named = sketched.select("t", "n", "fp").join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp")).drop("fp")
     first = named.groupBy("component").agg(F.min(F.struct("t", "n")).alias("c"), F.count("*").alias("texts")).where("texts > 1")
     met = named.join(first, "component").where((F.col("t") != F.col("c.t")) & _alike("n", "c.n"))
@@ -145,15 +145,15 @@ def _across(texts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def text_groups(docs: DataFrame) -> DataFrame:
     """t (xxhash64 of the text), g (the group's least t) of every distinct text."""
     sketched = keep(_sketched(docs))
-    pairs = cut(_simhash_pairs(sketched))
+    pairs = gathered(_simhash_pairs(sketched))
     rows = sketched.select(F.explode("keys").alias("s"), "t", "n")
     shards = rows.groupBy("s").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("t")).alias("x"), F.min("t").alias("m")).where("c > 1")
     # of shards with the same members one is enough
     shards = shards.groupBy("c", "x", "m").agg(F.min("s").alias("s")).select("s")
-    left = cut(rows.join(shards, "s"))
+    left = gathered(rows.join(shards, "s"))
     wanted = left.select("t").union(pairs.select("a")).union(pairs.select("b")).distinct()
     sets = keep(_sets(_texts(docs).join(wanted, "t").dropDuplicates(["t"])))
-    links = cut(_confirmed(pairs, sets))
+    links = gathered(_confirmed(pairs, sets))
     groups = _components(links)
     for star in range(STARS + 1):
         left = _open(left.select("s", "t", "n").join(groups, "t", "left").withColumn("g", F.coalesce("g", "t")))
@@ -167,6 +167,6 @@ def text_groups(docs: DataFrame) -> DataFrame:
             found = _confirmed(pairs.distinct(), sets)
         else:
             found = _confirmed(*_across(left.select("t", "g").distinct(), sets))
-        links = cut(found.union(links))
+        links = gathered(found.union(links))
         groups = _components(links)
     return sketched.select("t").join(groups, "t", "left").select("t", F.coalesce("g", "t").alias("g"))

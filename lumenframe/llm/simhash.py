@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.durable import cut
+from ..operators.durable import cut, gathered
 from ..operators.graph import connected_components
 from .batches import join_groups, map_batches, texts_of
 
@@ -216,7 +216,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard_words: int = SHARD_WO
         whens = [(_all(path) if path else None, parts) for path, parts in blocks.items()]
         rows = _shards(rows, keys, whens, width, depth)
         keys = [*keys, f"s{depth}", f"k{depth}"]
-        sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1"))
+        sizes = gathered(rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1"))
         last = depth == 3 or not width
         rows = cut(join_groups(rows, sizes.withColumn("hot", F.lit(False) if last else F.col("c") > split_words), keys, rows.count()))
         found = _links(rows.where("not hot").drop("hot"), radius)
@@ -263,7 +263,7 @@ def one_per_group(docs: DataFrame, radius: int = RADIUS, groups: DataFrame | Non
     t, d = F.xxhash64(F.col("text").cast("string")), F.col("doc_id").cast("long")
     least = docs.select(t.alias("t"), F.struct(d.isNull().alias("none"), d.alias("d")).alias("id")).groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     best = least.join(groups, "t").groupBy("g").agg(F.min(F.struct("id", "t", "rows")).alias("m"))
-    chosen = cut(best.select(F.col("m.id.d").alias("simhash_d"), F.col("m.t").alias("simhash_t"), (F.col("m.rows") > 1).alias("simhash_again")))
+    chosen = gathered(best.select(F.col("m.id.d").alias("simhash_d"), F.col("m.t").alias("simhash_t"), (F.col("m.rows") > 1).alias("simhash_again")))
     keyed = docs.withColumns({"simhash_kd": d, "simhash_kt": t})
     kept = keyed.join(chosen, (F.col("simhash_kt") == F.col("simhash_t")) & F.col("simhash_kd").eqNullSafe(F.col("simhash_d")))
     names = [F.col(f"`{c}`") for c in docs.columns]

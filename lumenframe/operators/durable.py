@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a few longs that one task may as well take; more tasks only make more files.
+ROWS_A_TASK = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names; a temporary one only in local mode, where all tasks share the machine."""
@@ -27,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """cut(df), read by no more tasks than its rows need: each shuffle after it writes files for each of them, however few its rows."""
+    made = cut(df)
+    return made.coalesce(tasks_for(made.count()))
+
+
 def keep(df: DataFrame, distinct: tuple[str, ...] = ()) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read from there: more compact than a checkpoint, columns can be pruned.
 

@@ -3,31 +3,36 @@
 Every step is a pre-aggregated minimum per vertex joined back to the edges, so a
 hub is summed on the map side and its join partition can be split by AQE; no
 vertex's neighbour list is ever gathered in one task.
+
+No step makes more edges than there were at first, so their count tells how many tasks are
+enough. With as many as the session has shuffle partitions, every step of a round would write
+files for each of them, however few its edges.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .durable import cut
+from .durable import cut, gathered
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+def _least_neighbour(edges: DataFrame, tasks: int) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """edges: u > v. Every larger neighbour of a vertex is tied to the least vertex of its neighbourhood."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+    least = _least_neighbour(both, tasks).select("u", F.least("u", "m").alias("m"))
+    moved = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """edges: u > v. The smaller neighbours of a vertex and the vertex itself are tied to the least of them."""
-    least = _least_neighbour(edges)
+    least = _least_neighbour(edges, tasks)
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -37,10 +42,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     (callers left-join and default to the vertex itself). Repeated edges are harmless; an empty
     list gives an empty result.
     """
-    current = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
+    current = gathered(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    tasks, mark = current.rdd.getNumPartitions(), None
     for _ in range(max_rounds):
-        current = cut(_small_star(_large_star(current)))
+        current = cut(_small_star(_large_star(current, tasks), tasks)).coalesce(tasks)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -32,3 +32,19 @@ def test_components_match_union_find(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_few_edges_take_few_tasks(spark):
+    """Each shuffle writes files for each task before it, so a session with many partitions must not make them for a few edges."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(90, 91)], "a long, b long")
+        found = connected_components(edges, "a", "b")
+        assert {r["id"]: r["component"] for r in found.collect()} == {i: 0 for i in range(31)} | {90: 90, 91: 90}
+        assert found.rdd.getNumPartitions() <= 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
